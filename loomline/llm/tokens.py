@@ -32,10 +32,11 @@ class WordIds(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.split = regex.compile(self.SPLIT).findall
+        self.model = self.tokenizer.model
         self.words: dict[str, bytes] = {}
-        self.ends = bytearray(self.tokenizer.get_vocab_size())
-        for piece, i in self.tokenizer.get_vocab().items():
-            self.ends[i] = piece.endswith("</w>")
+        # The byte-level alphabet: printable Latin-1 stands for itself, other bytes for characters from 256 on.
+        own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.alphabet = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in own)}
         self[""] = b""
 
     def _ids(self, text: str) -> list[int]:
@@ -43,41 +44,39 @@ class WordIds(dict):
 
     def learn(self, chunks: set[str]) -> None:
         """Add the ids of chunks; simple ones by their words, the others whole."""
-        if len(self) > self.limit:
-            self.clear()
-            self[""] = b""
         if len(self.words) > self.limit:
             self.words.clear()
-        parts, new = {}, set()
+        single, parts, new, known = [], [], set(), self.words
         for c in chunks:
-            if c.isascii() or max(c) < chr(SIMPLE):
-                parts[c] = found = self.split(c.lower())
-                new.update(w for w in found if w not in self.words)
-            else:
+            if not (c.isascii() or max(c) < chr(SIMPLE)):
                 self[c] = array("I", self._ids(c)).tobytes()
-        if new:
-            new = list(new)
-            ids, at, one = self._ids(" ".join(new)), 0, array("I")
-            for i in ids:
-                one.append(i)
-                if self.ends[i]:
-                    self.words[new[at]] = one.tobytes()
-                    at, one = at + 1, array("I")
-            if at != len(new) or one:
-                raise ValueError("the tokenizer does not mark the ends of words")
-        for c, found in parts.items():
-            self[c] = b"".join([self.words[w] for w in found])
+                continue
+            low = c.lower()
+            if low.isalpha():  # one word: every such character is a letter to the tokenizer too
+                single.append((c, low))
+                if low not in known:
+                    new.add(low)
+            else:
+                parts.append((c, found := self.split(low)))
+                new.update([w for w in found if w not in known])
+        tokenize, alphabet = self.model.tokenize, self.alphabet
+        for w in new:
+            piece = w if w.isascii() else w.encode().decode("latin-1").translate(alphabet)
+            known[w] = array("I", [t.id for t in tokenize(piece)]).tobytes()
+        for c, low in single:
+            self[c] = known[low]
+        for c, found in parts:
+            self[c] = b"".join([known[w] for w in found])
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for text in texts:
-            chunks = text.replace("\n", " ").split(" ")
-            try:
-                out.append(b"".join(map(self.__getitem__, chunks)))
-            except KeyError:
-                self.learn({c for c in chunks if c not in self})
-                out.append(b"".join([self[c] for c in chunks]))
-        return out
+        chunks = [text.replace("\n", " ").split(" ") for text in texts]
+        if new := {c for c in set().union(*chunks) if c not in self}:
+            if len(self) + len(new) > self.limit:
+                self.clear()
+                self[""] = b""
+                new = set().union(*chunks) - {""}
+            self.learn(new)
+        return [b"".join(map(self.__getitem__, own)) for own in chunks]
 
 
 class ChunkCounts(dict):
