@@ -1 +1 @@
-
+"""loomline: typed-decision corpora prepared and analysed with Spark DataFrames."""
