@@ -126,28 +126,31 @@ def bootstrap(df: DataFrame, group: str, value: str, draws: int = 1000, seed: st
     return est.crossJoin(ci)
 
 
-def fit_temperature(df: DataFrame, z: str = "z", y: str = "y", by: list[str] | None = None, steps: int = 3, points: int = 33) -> DataFrame:
-    """The temperature of least mean NLL for each group: a grid on ln T in [-4.6, 4.6], refined around the best point.
+def fit_temperature(df: DataFrame, z: str = "z", y: str = "y", by: list[str] | None = None, rounds: int = 3, points: int = 33) -> DataFrame:
+    """(by.., temperature, nll, nll_before): the temperature of least mean NLL, ln T in [-4.6, 4.6].
 
-    Each round scores all points in one aggregation (an array per row, one sum per point); T = 1 stays if no point beats it.
-    Grid centres of later rounds are joined back per group, a small table.
+    Each round scores a grid of points around the best so far: every row gives an array of losses, which is exploded
+    into a pre-aggregated mean per point, so a round is one small shuffle. T = 1 stays if no point beats it.
     """
-    by = by or []
-    Z, Y = F.col(z), F.col(y)
     keys = by or ["__all"]
-    told = df if by else df.withColumn("__all", F.lit(0))
-    centre, width, best = None, 4.6, None
-    for _ in range(steps):
-        at = told.join(F.broadcast(centre), keys) if centre is not None else told.withColumn("__c", F.lit(0.0))
-        offsets = [width * (2 * i / (points - 1) - 1) for i in range(points)]
-        score = lambda off: D.nll(D.softmax(Z, F.exp(F.least(F.greatest(F.col("__c") + off, F.lit(-4.6)), F.lit(4.6)))), Y, 1e-300)
-        sums = at.groupBy(*keys, "__c").agg(*(F.avg(score(off)).alias(f"__{i}") for i, off in enumerate(offsets)), F.avg(D.nll(D.softmax(Z), Y, 1e-300)).alias("__one"))
-        options = F.array(*(F.struct(F.col(f"__{i}").alias("nll"), F.least(F.greatest(F.col("__c") + off, F.lit(-4.6)), F.lit(4.6)).alias("ln")) for i, off in enumerate(offsets)))
-        best = sums.select(*keys, "__one", F.array_min(options).alias("b"))
-        centre = best.select(*keys, F.col("b.ln").alias("__c"))
+    Z, Y = F.col(z), F.col(y)
+    told = (df if by else df.withColumn("__all", F.lit(0))).select(*keys, Z.alias("__z"), F.array_max(Z).alias("__m"), D.total(Y).alias("__ty"), D.dot(Z, Y).alias("__zy"))
+
+    def loss(t: Column) -> Column:  # sum y * (logsumexp(z / T) - z / T)
+        lse = F.col("__m") / t + F.ln(F.aggregate("__z", F.lit(0.0), lambda s, x: s + F.exp((x - F.col("__m")) / t)))
+        return F.col("__ty") * lse - F.col("__zy") / t
+
+    told = told.withColumn("__c", F.lit(0.0))
+    width, best = 4.6, None
+    for _ in range(rounds):
+        grid = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.least(F.greatest(F.col("__c") + F.lit(width) * (i * (2.0 / (points - 1)) - 1), F.lit(-4.6)), F.lit(4.6)))
+        losses = F.transform(grid, lambda g: F.struct(g.alias("ln"), loss(F.exp(g)).alias("loss")))
+        means = told.select(*keys, F.inline(F.concat(losses, F.array(F.struct(F.lit(None).cast("double").alias("ln"), loss(F.lit(1.0)).alias("loss")))))).groupBy(*keys, "ln").agg(F.avg("loss").alias("nll"))
+        found = means.groupBy(*keys).agg(F.min(F.when(F.col("ln").isNotNull(), F.struct("nll", "ln"))).alias("b"), F.max(F.when(F.col("ln").isNull(), F.col("nll"))).alias("one"))
+        best = found
         width = 2 * width / (points - 1)
-    out = best.select(*by, F.when(F.col("b.nll") < F.col("__one"), F.exp("b.ln")).otherwise(1.0).alias("temperature"), F.least("b.nll", "__one").alias("nll"), F.col("__one").alias("nll_before"))
-    return out
+        told = told.drop("__c").join(found.select(*keys, F.col("b.ln").alias("__c")), keys)
+    return best.select(*(by or []), F.when(F.col("b.nll") < F.col("one"), F.exp("b.ln")).otherwise(1.0).alias("temperature"), F.least("b.nll", "one").alias("nll"), F.col("one").alias("nll_before"))
 
 
 def percentile_trunc(values: Column, p: float) -> Column:
