@@ -110,13 +110,9 @@ def _router(sent, spill: float):
                     raw = [vecs[int(r)].values.to_numpy().astype(np.float64).tobytes() for r in rows]
                     x = unit(raw)
                     leaves = [t.route(x, spill) for t in forest[int(dim)]]
-                    out: list[tuple] = []
-                    for i, r in enumerate(rows):
-                        # Each (tree, leaf) as one number, ascending by tree: the first common one owns a pair.
-                        cells = [(k << 32) + c for k, own in enumerate(leaves) for c in sorted(own[i])]
-                        out += [(int(ids[r]), int(dim), cell, raw[i], cells) for cell in cells]
-                    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
-                    yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], kind) for j, kind in enumerate(kinds)], ["id", "dim", "cell", "vec", "cells"])
+                    # Each (tree, leaf) as one number, ascending by tree: the first common one owns a pair.
+                    cells = [[(k << 32) + c for k, own in enumerate(leaves) for c in sorted(own[i])] for i in range(len(rows))]
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array([int(dim)] * len(rows), pa.int32()), pa.array(raw, pa.binary()), pa.array(cells, pa.list_(pa.int64()))], ["id", "dim", "vec", "cells"])
 
     return run
 
@@ -132,21 +128,23 @@ def _compare(threshold: float):
         if not len(left) or not len(right):
             return out.empty_table()
         x = unit(group.column("vec").to_pylist())
-        hit = x[left] @ x[right].T >= threshold
-        hit &= ids[left][:, None] != ids[right][None, :]
+        a, b = np.nonzero(x[left] @ x[right].T >= threshold)
+        a, b = left[a], right[b]
+        real = ids[a] != ids[b]
         if diagonal:
-            hit = np.triu(hit, 1)
-        a, b = np.nonzero(hit)
+            real &= a < b
+        a, b = a[real], b[real]
         if not len(a):
             return out.empty_table()
-        a, b = left[a], right[b]
         # Owned here: no cell before this one holds both. Cells ascend, so a matrix of earlier cells tells.
-        cells = [np.array(c) for c in group.column("cells").to_pylist()]
-        earlier = [c[c < cell] for c in cells]
-        known = {c: i for i, c in enumerate(sorted({int(c) for e in earlier for c in e}))}
+        rows = np.unique(np.concatenate([a, b]))
+        own = group.column("cells").take(pa.array(rows)).combine_chunks()
+        lengths = np.diff(own.offsets.to_numpy())
+        numbers, at = own.flatten().to_numpy(), np.repeat(rows, lengths)
+        numbers, at = numbers[numbers < cell], at[numbers < cell]
+        known, number = np.unique(numbers, return_inverse=True)
         inside = np.zeros((len(ids), max(1, len(known))), bool)
-        for i, e in enumerate(earlier):
-            inside[i, [known[int(c)] for c in e]] = True
+        inside[at, number] = True
         packed = np.packbits(inside, axis=1)
         owned = np.concatenate([~(packed[a[i : i + 100_000]] & packed[b[i : i + 100_000]]).any(axis=1) for i in range(0, len(a), 100_000)])
         n = np.bincount(a[owned], minlength=len(ids)) + np.bincount(b[owned], minlength=len(ids))
@@ -159,7 +157,6 @@ def _compare(threshold: float):
             if (new == low).all():
                 break
             low = new
-        rows = np.unique(np.concatenate([a, b]))
         return pa.table([ids[rows], n[rows], low[rows]], schema=out)
 
     return run
@@ -190,13 +187,13 @@ def near_duplicates(
         picked = fine.where(F.col("dim") == dim).select("id", "vec").orderBy(F.xxhash64("id"), "id").limit(sample_rows).toArrow()
         sample[dim] = unit([np.asarray(v.values, np.float64).tobytes() for v in picked.column("vec")])
     sent = vectors.sparkSession.sparkContext.broadcast(fit_forest(sample, totals, n_trees, leaf, spill, seed))
-    routed = Written(fine.select("id", "vec").mapInArrow(_router(sent, spill), "id long, dim int, cell long, vec binary, cells array<long>"), "routed").df
+    routed = Written(fine.select("id", "vec").mapInArrow(_router(sent, spill), "id long, dim int, vec binary, cells array<long>"), "routed").df
     # One row for each leaf of the bounded forest.
-    sizes = routed.groupBy("dim", "cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("nb"))
+    sizes = routed.select("dim", F.explode("cells").alias("cell")).groupBy("dim", "cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("nb"))
     blocks = F.broadcast(sizes)
     b = F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda o: F.struct(F.least("b", o).alias("bi"), F.greatest("b", o).alias("bj"), (F.col("b") > o).cast("int").alias("side"), (F.col("b") == o).alias("first")))
-    dealt = routed.join(blocks, ["dim", "cell"]).withColumn("b", b).select("id", "dim", "cell", "vec", "cells", F.inline(pairs))
+    dealt = routed.select("id", "dim", "vec", "cells", F.explode("cells").alias("cell")).join(blocks, ["dim", "cell"]).withColumn("b", b).select("id", "dim", "cell", "vec", "cells", F.inline(pairs))
     found = Written(dealt.groupBy("dim", "cell", "bi", "bj").applyInArrow(_compare(threshold), "id long, n long, low long"), "links").df
     counts = found.groupBy(F.col("id").alias("__id")).agg(F.sum("n").alias("__n"))
     linked = connected_components(found.select(F.col("id").alias("a"), F.col("low").alias("b")))
