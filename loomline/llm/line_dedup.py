@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from loomline.llm.common import Written, broadcast_if_small
 
+#: Tasks over which the lines of one key are dealt when they meet the keys to drop.
+SALTS = 16
 #: Stripped at both ends of a line.
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -44,7 +46,10 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Data
     lines = Written(long.select("doc_id", "__row", "__pos", F.unhex(F.md5(line_key(F.col("__line")))).alias("__key")), "lines")
     held = lines.df.select("__key", "doc_id").distinct().groupBy("__key").agg(F.count(F.lit(1)).alias("__n"), F.max("doc_id").alias("__keeper"))
     common = held.where(F.col("__n") >= min_docs).select("__key", "__keeper")
-    gone = lines.df.join(common, "__key").where(~F.col("doc_id").eqNullSafe(F.col("__keeper")))
+    # A line that very many documents hold is dealt out over SALTS tasks; the keys over the threshold are repeated for it.
+    salted = common.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.xxhash64("doc_id", "__row"), F.lit(SALTS)).cast("int")
+    gone = lines.df.withColumn("__salt", salt).join(salted, ["__key", "__salt"]).where(~F.col("doc_id").eqNullSafe(F.col("__keeper")))
     gone = Written(gone.groupBy("doc_id", "__row").agg(F.collect_list("__pos").alias("__gone")), "gone")
     lines.drop()
     side = gone.df.select(F.col("doc_id").alias("__doc"), F.col("__row").alias("__text"), "__gone")
