@@ -106,7 +106,7 @@ def bootstrap(df: DataFrame, group: str, value: str, draws: int = 1000, seed: st
     """Cluster percentile bootstrap: estimate = sum / count over groups; 95 % interval over Poisson-weighted resamples.
 
     Groups are summed first; each group's weight in each draw is a Poisson(1) number hashed from (seed, draw, group),
-    made inside one array expression, so the draws need no cross join and no shuffle of their own.
+    made inside one array expression, so the draws need no cross join. A draw in which no group has weight is left out.
     """
     sums = df.groupBy(group).agg(F.sum(value).alias("s"), F.count(F.lit(1)).alias("n"))
     edges, acc, p = [], 0.0, math.exp(-1)
@@ -120,7 +120,7 @@ def bootstrap(df: DataFrame, group: str, value: str, draws: int = 1000, seed: st
         return sum((F.when(u >= e, 1).otherwise(0) for e in edges[1:]), F.when(u >= edges[0], 1).otherwise(0))
 
     drawn = sums.select(F.explode(F.transform(F.sequence(F.lit(1), F.lit(draws)), lambda i: F.struct(i.alias("draw"), weight(i).alias("w")))).alias("x"), "s", "n")
-    per = drawn.groupBy("x.draw").agg((F.sum(F.col("x.w") * F.col("s")) / F.sum(F.col("x.w") * F.col("n"))).alias("m"))
+    per = drawn.groupBy("x.draw").agg(F.try_divide(F.sum(F.col("x.w") * F.col("s")), F.sum(F.col("x.w") * F.col("n"))).alias("m"))
     ci = per.agg(F.percentile("m", 0.025).alias("lower"), F.percentile("m", 0.975).alias("upper"))
     est = sums.agg((F.sum("s") / F.sum("n")).alias("estimate"), F.count(F.lit(1)).alias("groups"))
     return est.crossJoin(ci)
