@@ -95,11 +95,18 @@ def naive_bayes(df: DataFrame, cause: str, features: list[str]) -> DataFrame:
 
 
 def reachable(edges: DataFrame, sources: DataFrame, max_hops: int) -> DataFrame:
-    """(node, distance) by breadth-first rounds over an edge table (a, b); each round joins only the new frontier."""
-    seen = sources.select(F.col("node"), F.lit(0).alias("distance"))
-    frontier = seen
+    """(node, distance) by breadth-first rounds over an edge table (a, b), until a round finds nothing new.
+
+    Each round joins only the last frontier and writes the next one to the shared folder, which cuts the lineage.
+    """
+    from loomline.sources.shared import shared_path
+
+    spark, path = edges.sparkSession, shared_path(edges.sparkSession, "reachable")
+    read = lambda: spark.read.schema(f"node {sources.schema['node'].dataType.simpleString()}, distance int").parquet(path)
+    sources.select("node").distinct().write.parquet(f"{path}/distance=0")
     for d in range(1, max_hops + 1):
-        new = frontier.join(edges, F.col("node") == F.col("a")).select(F.col("b").alias("node")).distinct()
-        frontier = new.join(seen.select("node"), "node", "left_anti").withColumn("distance", F.lit(d))
-        seen = seen.unionByName(frontier)
-    return seen
+        new = read().where(F.col("distance") == d - 1).join(edges, F.col("node") == F.col("a")).select(F.col("b").alias("node")).distinct()
+        new.join(read().select("node"), "node", "left_anti").write.parquet(f"{path}/distance={d}")
+        if read().where(F.col("distance") == d).isEmpty():
+            break
+    return read()

@@ -249,7 +249,7 @@ def gridworld(spark, sf):
 def _grid(spark, cell):
     c = cell.select(F.struct("x", "y").alias("a"), "x", "y")
     steps = F.array(*(F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y")) for dx, dy in ((1, 0), (-1, 0), (0, 1), (0, -1))))
-    edges = c.select("a", F.explode(steps).alias("b")).join(c.select(F.col("a").alias("b")), "b", "left_semi").select("a", "b").cache()
+    edges = c.select("a", F.explode(steps).alias("b")).join(c.select(F.col("a").alias("b")), "b", "left_semi").select("a", "b")
     start = spark.range(1).select(F.struct(F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y")).alias("node"))
     return R.reachable(edges, start, 30).select("node.x", "node.y", "distance")
 
@@ -272,11 +272,11 @@ def gen_synthetic(spark, sf):
     return spark.range(100).select(F.col("id").alias("i"), F.element_at(colours, (F.col("id") % 3 + 1).cast("int")).alias("colour"), (F.col("id") % 5).alias("level"))
 
 
-@query("gen_workflows", "WITH c AS (SELECT l_orderkey, l_shipmode, sum(l_extendedprice::DOUBLE) AS s FROM lineitem GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY s DESC, l_shipmode) AS k FROM c) SELECT l_orderkey, l_shipmode, round(1 - abs((l_orderkey % 4) - (length(l_shipmode) % 4)) / 3.0, 6)::DOUBLE AS credit FROM r WHERE k = 1")
+@query("gen_workflows", "WITH c AS (SELECT l_orderkey, l_returnflag, sum(l_extendedprice::DOUBLE) AS s FROM lineitem GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY s DESC, l_returnflag) AS k FROM c) SELECT l_orderkey, l_returnflag, round(1 - abs((l_orderkey % 4) - (length(l_returnflag) % 4)) / 3.0, 6)::DOUBLE AS credit FROM r WHERE k = 1")
 def gen_workflows(spark, sf):
-    c = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_shipmode").agg(F.sum(F.col("l_extendedprice").cast("double")).alias("s"))
-    best = c.groupBy("l_orderkey").agg(F.min(F.struct((-F.col("s")).alias("s"), "l_shipmode"))["l_shipmode"].alias("l_shipmode"))
-    return best.select("l_orderkey", "l_shipmode", F.round(1 - F.abs(F.col("l_orderkey") % 4 - F.length("l_shipmode") % 4) / 3, 6).alias("credit"))
+    c = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_returnflag").agg(F.sum(F.col("l_extendedprice").cast("double")).alias("s"))
+    best = c.groupBy("l_orderkey").agg(F.min(F.struct((-F.col("s")).alias("s"), "l_returnflag"))["l_returnflag"].alias("l_returnflag"))
+    return best.select("l_orderkey", "l_returnflag", F.round(1 - F.abs(F.col("l_orderkey") % 4 - F.length("l_returnflag") % 4) / 3, 6).alias("credit"))
 
 
 @query("verify_outcome", "SELECT vec_id, round(0.5 * (vec_id % 2) + 0.5 * (1 - abs(label - (vec_id % 10)) / 9.0), 6)::DOUBLE AS credit FROM embeddings")
