@@ -38,11 +38,10 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
 
 
-def shingles(text: Column, n: int) -> Column:
-    """Distinct n-grams of words; none for a shorter text."""
-    w = words(text)
-    grams = F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " "))
-    return F.when(F.size(w) >= n, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
+def grams(w: Column, n: int) -> Column:
+    """Distinct n-grams of an array of words; none for a shorter one. Give it a computed column: it is read once per gram."""
+    all_grams = F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " "))
+    return F.when(F.size(w) >= n, F.array_distinct(all_grams)).otherwise(F.array().cast("array<string>"))
 
 
 def number_tokens(text: Column) -> Column:
