@@ -130,16 +130,16 @@ def gen_to_request(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", reason.alias("reason"))
 
 
-@query("aug_menu", "WITH pool AS (SELECT DISTINCT p_brand AS o FROM part), q AS (SELECT p_partkey, p_brand AS gold FROM part WHERE p_partkey % 50 = 0), c AS (SELECT p_partkey, gold, o, row_number() OVER (PARTITION BY p_partkey ORDER BY sha256(p_partkey || ':' || o)) AS r FROM q JOIN pool ON o <> gold), m AS (SELECT p_partkey, o FROM c WHERE r <= 3 UNION ALL SELECT p_partkey, gold FROM q WHERE p_partkey % 250 <> 0) SELECT p_partkey, string_agg(o, ',' ORDER BY sha256('menu:' || p_partkey || ':' || o)) AS menu FROM m GROUP BY p_partkey")
+@query("aug_menu", "WITH pool AS (SELECT DISTINCT p_brand AS o FROM part), q AS (SELECT p_partkey, p_brand AS gold FROM part), c AS (SELECT p_partkey, gold, o, row_number() OVER (PARTITION BY p_partkey ORDER BY sha256(p_partkey || ':' || o)) AS r FROM q JOIN pool ON o <> gold), m AS (SELECT p_partkey, o FROM c WHERE r <= 3 UNION ALL SELECT p_partkey, gold FROM q WHERE p_partkey % 5 <> 0) SELECT p_partkey, string_agg(o, ',' ORDER BY sha256('menu:' || p_partkey || ':' || o)) AS menu FROM m GROUP BY p_partkey")
 def aug_menu(spark, sf):
     """A menu of three distractors and the gold option (left out one time in five), in hashed order; the pool is a small set of labels."""
     p = table(spark, sf, "part")
     pool = p.agg(F.array_sort(F.collect_set("p_brand")).alias("pool"))  # the label set of the task
-    q = p.where("p_partkey % 50 = 0").select("p_partkey", F.col("p_brand").alias("gold")).crossJoin(F.broadcast(pool))
+    q = p.select("p_partkey", F.col("p_brand").alias("gold")).crossJoin(F.broadcast(pool))
     key = F.col("p_partkey").cast("string")
     order = lambda prefix, a: F.transform(F.array_sort(F.transform(a, lambda o: F.struct(F.sha2(F.concat(prefix, F.lit(":"), o), 256).alias("h"), o.alias("o")))), lambda x: x["o"])
     wrong = F.slice(order(key, F.filter("pool", lambda o: o != F.col("gold"))), 1, 3)
-    menu = F.when(F.col("p_partkey") % 250 == 0, wrong).otherwise(F.concat(wrong, F.array("gold")))
+    menu = F.when(F.col("p_partkey") % 5 == 0, wrong).otherwise(F.concat(wrong, F.array("gold")))
     return q.select("p_partkey", F.array_join(order(F.concat(F.lit("menu:"), key), menu), ",").alias("menu"))
 
 
@@ -224,11 +224,11 @@ def pack_budgets(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.when(n + 63 > 8192, "max_tokens").when(n + 17 > 6144, "state_plus_question").alias("error"))
 
 
-@query("pack_visibility", "WITH s AS (SELECT vec_id, label, i, CASE WHEN i = 0 THEN -1 WHEN i = 1 THEN 0 ELSE 1 END AS parent FROM embeddings, range(4) r(i) WHERE vec_id < 50) SELECT q.vec_id, q.i AS query, count(*) AS visible FROM s q JOIN s k ON q.vec_id = k.vec_id AND k.i <= q.i AND (k.i = 0 OR k.i = q.i OR k.i = q.parent) GROUP BY 1, 2")
+@query("pack_visibility", "WITH s AS (SELECT vec_id, label, i, CASE WHEN i = 0 THEN -1 WHEN i = 1 THEN 0 ELSE 1 END AS parent FROM embeddings, range(4) r(i)) SELECT q.vec_id, q.i AS query, count(*) AS visible FROM s q JOIN s k ON q.vec_id = k.vec_id AND k.i <= q.i AND (k.i = 0 OR k.i = q.i OR k.i = q.parent) GROUP BY 1, 2")
 def pack_visibility(spark, sf):
     """Key segments that each query segment sees: the state, itself and its parent, causally; segments of a request are an array."""
     seg = F.array(*(F.struct(F.lit(i).cast("long").alias("i"), F.lit(p).alias("parent")) for i, p in ((0, -1), (1, 0), (2, 1), (3, 1))))
-    r = table(spark, sf, "embeddings").where("vec_id < 50").select("vec_id", seg.alias("s")).select("vec_id", "s", F.inline("s"))
+    r = table(spark, sf, "embeddings").select("vec_id", seg.alias("s")).select("vec_id", "s", F.inline("s"))
     seen = F.filter("s", lambda k: (k["i"] <= F.col("i")) & ((k["i"] == 0) | (k["i"] == F.col("i")) | (k["i"] == F.col("parent"))))
     return r.select("vec_id", F.col("i").alias("query"), F.size(seen).cast("long").alias("visible"))
 

@@ -228,11 +228,11 @@ def prorated(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", F.round(F.col("o_totalprice").cast("double") * left / 365, 2).alias("refund"))
 
 
-@query("gen_retrieval", "WITH q AS (SELECT item_id, list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')))[1:20] AS w FROM benchmark WHERE item_id % 10 = 0), d AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM conversations), m AS (SELECT item_id, conv_id, turn, len(list_intersect(q.w, d.w)) AS o FROM q, d) SELECT item_id, count(*) FILTER (WHERE o >= 3) AS relevant, count(*) FILTER (WHERE o BETWEEN 1 AND 2) AS partial FROM m GROUP BY item_id")
+@query("gen_retrieval", "WITH q AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM benchmark), d AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM conversations), m AS (SELECT item_id, conv_id, turn, len(list_intersect(q.w, d.w)) AS o FROM q, d) SELECT item_id, count(*) FILTER (WHERE o >= 3) AS relevant, count(*) FILTER (WHERE o BETWEEN 1 AND 2) AS partial FROM m GROUP BY item_id")
 def gen_retrieval(spark, sf):
     from loomline.functions.text import words
 
-    q = table(spark, sf, "benchmark").where("item_id % 10 = 0").select("item_id", F.explode(F.slice(F.array_sort(F.array_distinct(words(F.col("text")))), 1, 20)).alias("w"))
+    q = table(spark, sf, "benchmark").select("item_id", F.explode(F.array_distinct(words(F.col("text")))).alias("w"))
     d = table(spark, sf, "conversations").select("conv_id", "turn", F.explode(F.array_distinct(words(F.col("text")))).alias("w"))
     o = d.join(q, "w").groupBy("item_id", "conv_id", "turn").agg(F.count(F.lit(1)).alias("o"))
     told = o.groupBy("item_id").agg(F.count_if(F.col("o") >= 3).alias("relevant"), F.count_if(F.col("o") <= 2).alias("partial"))
