@@ -3,7 +3,9 @@
 Texts with the same words fall into one class first, so copies cost a partial aggregation. One row for each class and
 band is dealt by the band's hash; links to the smallest class of each bucket give candidate groups. The full n-gram
 sets then go to their candidate groups, and every pair of a group is verified exactly: groups are cut into blocks and
-each pair of blocks is one small task, which returns counts and a spanning link for each row, not the pairs.
+each pair of blocks is one small task, which returns counts and a spanning link for each row, not the pairs. A
+group whose buckets are much smaller than itself (a chain of loosely similar texts, as large corpora have) is
+verified bucket by bucket instead; a pair counts in the first bucket that holds both.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from loomline.llm.components import connected_components
 _WORDS = re.compile(r"\w+").findall
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
+#: Candidates with their n-gram sets; a cell is a group or bucket, its blocks, and the bucket's band hash (null: a group).
+SETS = "key binary, copies long, bands array<long>, cells array<struct<comp:binary,nb:int,band:long>>, grams binary"
 
 
 def words_of(text: str) -> list[str]:
@@ -131,7 +135,7 @@ def _sets(n: int):
             for low in range(0, batch.num_rows, 256):
                 part = batch.slice(low, 256)
                 sets = [shingles(words_of(t or "")).tobytes() for t in part.column(0).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(sets, pa.binary())], ["key", "copies", "comp", "nb", "grams"])
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(sets, pa.binary())], ["key", "copies", "bands", "cells", "grams"])
 
     return run
 
@@ -175,6 +179,11 @@ def _verify(similarity: float):
         linked = _similar([sets[i] for i in left], None if diagonal else [sets[i] for i in right], similarity)
         if diagonal:
             np.fill_diagonal(linked, False)
+        bucket = group.column("band")[0].as_py()
+        if bucket is not None:  # a pair counts in the first bucket that holds both
+            own = np.stack([np.asarray(b.values, np.int64) for b in group.column("bands")])
+            for k in range(int(np.flatnonzero(own[0] == bucket)[0])):
+                linked &= own[left, k][:, None] != own[right, k][None, :]
         rows: dict[int, list] = {}
         # Spanning links of what is linked here: by union, each row to its root's smallest key.
         parent = list(range(len(sets)))
@@ -230,8 +239,8 @@ def ngram_join(docs: DataFrame, n: int = 5, similarity: float = 0.8, recall: flo
     buckets = banded.df.groupBy("band").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least <> most").select("band", "least")
     links = banded.df.join(buckets, "band").where("key <> least").select(F.col("key").alias("a"), F.col("least").alias("b"))
     candidates = connected_components(links)
+    found = connected_components_of_texts(base, texts, seen, banded.df, candidates.df, n, similarity, block) if candidates is not None else None
     banded.drop()
-    found = connected_components_of_texts(base, texts, candidates.df, n, similarity, block) if candidates is not None else None
     if found is None:
         classes = texts.select("key", F.col("doc").alias("class_id"), "copies", F.lit(0).cast("long").alias("texts"), F.lit(0).cast("long").alias("docs"))
     else:
@@ -248,27 +257,63 @@ def ngram_join(docs: DataFrame, n: int = 5, similarity: float = 0.8, recall: flo
     )
 
 
-def connected_components_of_texts(base: DataFrame, texts: DataFrame, candidates: DataFrame, n: int, similarity: float, block: int) -> tuple[DataFrame, DataFrame] | None:
+def _cells(members: DataFrame, block: int) -> DataFrame:
+    """(key, comp, nb, band) of members (key, grams, comp, band): how many blocks each candidate group is cut into.
+
+    Blocks hold about `block` texts and at most about a million grams; large groups get larger blocks, so that a group of
+    m texts ships each text sqrt-many times rather than m / block times.
+    """
+    size = members.groupBy("comp").agg(F.count(F.lit(1)).alias("m"), F.sum("grams").alias("g"))
+    few = F.ceil(F.col("m") / block)
+    by_grams = F.ceil(F.col("g") / 1_000_000)
+    many = F.greatest(F.lit(24), F.ceil(F.col("m") / 1024), by_grams)
+    size = size.select("comp", F.greatest(F.least(few, many), by_grams, F.lit(1)).cast("int").alias("nb"))
+    return members.join(size, "comp").select("key", "comp", "nb", "band")
+
+
+def _loose_groups(banded: DataFrame, candidates: DataFrame, block: int) -> DataFrame | None:
+    """(comp) of groups beyond one block in which comparing bucket by bucket takes less than half of all pairs."""
+    large = candidates.groupBy(F.col("component").alias("comp")).agg(F.count(F.lit(1)).cast("double").alias("m")).where(F.col("m") > block)
+    large = Written(large, "large").df
+    if large.isEmpty():
+        return None
+    buckets = banded.groupBy("band").agg(F.min("key").alias("node"), F.count(F.lit(1)).cast("double").alias("b")).where("b > 1")
+    cost = buckets.join(candidates, "node").groupBy(F.col("component").alias("comp")).agg(F.sum(F.col("b") * F.col("b")).alias("cost"))
+    loose = Written(large.join(cost, "comp").where("2 * cost < m * m").select("comp"), "loose").df
+    return None if loose.isEmpty() else loose
+
+
+def connected_components_of_texts(base: DataFrame, texts: DataFrame, seen: DataFrame, banded: DataFrame, candidates: DataFrame, n: int, similarity: float, block: int) -> tuple[DataFrame, DataFrame] | None:
     """Verify the candidate groups (node, component): (key, texts, docs) counts and (node, component) of true links."""
     members = candidates.join(texts.withColumnRenamed("key", "node"), "node")
     members = Written(members.select(F.col("node").alias("key"), F.col("component").alias("comp"), "doc", "copies", "grams"), "members").df
-    # Blocks of about `block` texts and at most about a million grams; large groups get larger blocks, so that a
-    # group of m texts ships each text sqrt-many times rather than m / block times.
-    size = members.groupBy("comp").agg(F.count(F.lit(1)).alias("m"), F.sum("grams").alias("g"))
-    few = F.ceil(F.col("m") / block)
-    many = F.greatest(F.lit(24), F.ceil(F.col("m") / 1024), F.ceil(F.col("g") / 1_000_000))
-    size = size.select("comp", F.least(few, many).alias("few"), F.ceil(F.col("g") / 1_000_000).alias("by_grams")).select("comp", F.greatest("few", "by_grams", F.lit(1)).cast("int").alias("nb"))
-    side = Written(members.join(size, "comp").select("key", "doc", "copies", "comp", "nb"), "sized").df
-    side = broadcast_if_small(side.withColumnRenamed("doc", "__doc"), 120)
-    wanted = base.join(side, F.col("doc_id").eqNullSafe(F.col("__doc"))).select("text", "key", "copies", "comp", "nb")
-    sets = wanted.mapInArrow(_sets(n), "key binary, copies long, comp binary, nb int, grams binary")
+    loose = _loose_groups(banded, candidates, block)
+    tight = members if loose is None else members.join(loose, "comp", "left_anti")
+    cells = _cells(tight.select("key", "grams", "comp", F.lit(None).cast("long").alias("band")), block)
+    bands = F.lit(None).cast("array<long>")
+    if loose is None:
+        side = cells.join(members.select("key", "doc", "copies"), "key").select("key", "doc", "copies", bands.alias("bands"), F.array(F.struct("comp", "nb", "band")).alias("cells"))
+    else:
+        inside = Written(members.join(loose, "comp", "left_semi").select("key", "grams"), "inside").df
+        spread = banded.join(inside, "key")
+        shared = spread.groupBy("band").agg(F.count(F.lit(1)).alias("b")).where("b > 1").select("band")
+        # A bucket's name as bytes; a group's name is a key of 16 bytes, so the two never meet.
+        spread = Written(spread.join(shared, "band").select("key", "grams", F.unhex(F.hex("band")).alias("comp"), "band"), "spread").df
+        signs = seen.join(inside.select("key"), "key", "left_semi").groupBy("key").agg(F.first("bands").alias("bands"))
+        every = cells.unionByName(_cells(spread, block)).groupBy("key").agg(F.collect_list(F.struct("comp", "nb", "band")).alias("cells"))  # at most one for each band
+        side = every.join(members.select("key", "doc", "copies"), "key").join(signs, "key", "left").select("key", "doc", "copies", "bands", "cells")
+    side = Written(side, "sized").df
+    side = broadcast_if_small(side.withColumnRenamed("doc", "__doc"), 120, extra=F.size("cells") * 40 + F.coalesce(F.size("bands"), F.lit(0)) * 8)
+    wanted = base.join(side, F.col("doc_id").eqNullSafe(F.col("__doc"))).select("text", "key", "copies", "bands", "cells")
+    sets = wanted.mapInArrow(_sets(n), SETS)
     # A doc_id that repeats with other words gives sets under a key that is not theirs; the key's own text decides.
     repeated = base.groupBy("doc_id").count().where("count > 1").isEmpty()
     if not repeated:
         sets = _own_sets(base, side, n)
+    sets = sets.select("key", "copies", "bands", "grams", F.inline("cells"))
     b = F.pmod(F.xxhash64("key"), F.col("nb")).cast("int")
-    cells = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda o: F.struct(F.least("b", o).alias("bi"), F.greatest("b", o).alias("bj"), (F.col("b") > o).cast("int").alias("side"), (F.col("b") == o).alias("first")))
-    dealt = sets.withColumn("b", b).select("key", "copies", "comp", "grams", F.inline(cells))
+    places = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda o: F.struct(F.least("b", o).alias("bi"), F.greatest("b", o).alias("bj"), (F.col("b") > o).cast("int").alias("side"), (F.col("b") == o).alias("first")))
+    dealt = sets.withColumn("b", b).select("key", "copies", "bands", "comp", "band", "grams", F.inline(places))
     found = dealt.groupBy("comp", "bi", "bj").applyInArrow(_verify(similarity), "key binary, texts long, docs long, low binary")
     found = Written(found, "verified").df
     linked = connected_components(found.select(F.col("key").alias("a"), F.col("low").alias("b")))
@@ -290,12 +335,12 @@ def _own_sets(base: DataFrame, side: DataFrame, n: int) -> DataFrame:
                 words = words_of(text or "")
                 if words and hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest() == own[0]:
                     rows.append((*own, shingles(words).tobytes()))
-            kinds = [pa.binary(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["key", "copies", "comp", "nb", "grams"])
+            kinds = [*(c.type for c in batch.columns[1:]), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["key", "copies", "bands", "cells", "grams"])
 
-    wanted = base.join(side, F.col("doc_id").eqNullSafe(F.col("__doc"))).select("text", "key", "copies", "comp", "nb")
-    found = wanted.mapInArrow(run, "key binary, copies long, comp binary, nb int, grams binary")
-    return found.groupBy("key").agg(*(F.first(c).alias(c) for c in ("copies", "comp", "nb", "grams")))
+    wanted = base.join(side, F.col("doc_id").eqNullSafe(F.col("__doc"))).select("text", "key", "copies", "bands", "cells")
+    found = wanted.mapInArrow(run, SETS)
+    return found.groupBy("key").agg(*(F.first(c).alias(c) for c in ("copies", "bands", "cells", "grams")))
 
 
 def keep_one(docs: DataFrame, n: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -85,3 +85,28 @@ def test_components(spark):
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).df.collect()}
     loops = {x for e in edges for x in e} - {x for a, b in edges if a != b for x in (a, b)}
     assert got == {x: find(x) for x in parent if x not in loops}
+
+
+def test_chain_of_loosely_similar_texts(spark, monkeypatch):
+    """A long chain is one candidate group with small buckets: it is verified bucket by bucket, with equal results."""
+    from loomline.llm import ngram_join as module
+
+    rng = random.Random(9)
+    words = [f"w{rng.randrange(10**9)}" for _ in range(3000)]
+    rows, at = [], 0
+    while at + 60 <= len(words):
+        rows.append(" ".join(words[at : at + 60]))
+        at += rng.choice((2, 3, 5, 6, 7, 9))
+    rows += rows[:30]
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    told, real = [], module._loose_groups
+    monkeypatch.setattr(module, "_loose_groups", lambda *a: told.append(real(*a)) or told[-1])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join(df, block=32).collect()}
+    assert told[0] is not None and told[0].count() >= 1
+    assert got == brute(rows)
+    # Ids that repeat with other words take the longer way to their sets.
+    again = spark.createDataFrame([*rows, (0, "quite other words than all the rest of them")], "doc_id long, text string")
+    classes = Counter((r.doc_id, r.class_id, r.n_links) for r in ngram_join(again, block=32).collect())
+    assert all(classes[(d, *v)] >= 1 for d, v in got.items() if d != 0)
