@@ -10,6 +10,7 @@ verified bucket by bucket instead; a pair counts in the first bucket that holds
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -17,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomline.llm.common import Written, broadcast_if_small
 from loomline.llm.components import connected_components
@@ -34,6 +36,11 @@ def words_of(text: str) -> list[str]:
     return _WORDS(low) or low.split()
 
 
+def _key(words: list[str]) -> bytes | None:
+    """The name of a word sequence; without words null."""
+    return hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest() if words else None
+
+
 def bands_for(similarity: float, recall: float, most: int = 128) -> tuple[int, int]:
     """(bands, rows): the most rows per band that reach ``recall`` at ``similarity`` with at most ``most`` hashes."""
     found = None
@@ -108,8 +115,6 @@ class MinHash:
 
 def _signatures(n: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
-
         shingles, minhash = Shingler(n), MinHash(bands, rows)
         for batch in batches:
             for low in range(0, batch.num_rows, 256):
@@ -118,7 +123,7 @@ def _signatures(n: int, bands: int, rows: int):
                 for text in part.column(1).to_pylist():
                     words = words_of(text or "")
                     grams = shingles(words)
-                    keys.append(hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest() if words else None)
+                    keys.append(_key(words))
                     sizes.append(len(grams))
                     signs.append(minhash(grams) if words else None)
                 yield pa.RecordBatch.from_arrays(
@@ -228,6 +233,19 @@ def ngram_join(docs: DataFrame, n: int = 5, similarity: float = 0.8, recall: flo
     each. A null doc_id joins its class but never names it while another id does. No pair of a candidate bucket is left
     out; the banding misses a pair of exactly the threshold with probability 1 - recall.
     """
+    seen, classes = _classes(docs, n, similarity, recall, block)
+    classes = Written(classes.select("key", "class_id", "copies", "texts", "docs"), "classes").df
+    out = seen.select("doc_id", "key").join(classes, "key", "left")
+    return out.select(
+        "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), (F.coalesce("docs", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).alias("n_links"), F.coalesce("texts", F.lit(0)).cast("long").alias("n_text_links"), F.coalesce("copies", F.lit(1)).cast("long").alias("n_copies")
+    )
+
+
+def _classes(docs: DataFrame, n: int, similarity: float, recall: float = 0.9999, block: int = 128) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, key, more) of all rows, and (key, doc, component, class_id, copies, texts, docs) of their word sequences.
+
+    doc is the smallest doc_id of a word sequence; component names its class even where ids are null or repeat.
+    """
     bands, rows = bands_for(similarity, recall)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     seen = Written(base.mapInArrow(_signatures(n, bands, rows), "doc_id long, key binary, grams long, bands array<long>"), "signatures").df
@@ -242,19 +260,14 @@ def ngram_join(docs: DataFrame, n: int = 5, similarity: float = 0.8, recall: flo
     found = connected_components_of_texts(base, texts, seen, banded.df, candidates.df, n, similarity, block) if candidates is not None else None
     banded.drop()
     if found is None:
-        classes = texts.select("key", F.col("doc").alias("class_id"), "copies", F.lit(0).cast("long").alias("texts"), F.lit(0).cast("long").alias("docs"))
-    else:
-        counts, linked = found
-        told = texts.join(counts, "key", "left").join(linked.withColumnRenamed("node", "key"), "key", "left")
-        told = told.select("key", "doc", "copies", F.coalesce("texts", F.lit(0)).alias("texts"), F.coalesce("docs", F.lit(0)).alias("docs"), F.coalesce("component", "key").alias("component"))
-        told = Written(told, "told").df
-        named = told.groupBy("component").agg(F.min("doc").alias("class_id"))
-        classes = told.join(named, "component").select("key", "class_id", "copies", "texts", "docs")
-    classes = Written(classes, "classes").df
-    out = seen.select("doc_id", "key").join(classes, "key", "left")
-    return out.select(
-        "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), (F.coalesce("docs", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).alias("n_links"), F.coalesce("texts", F.lit(0)).cast("long").alias("n_text_links"), F.coalesce("copies", F.lit(1)).cast("long").alias("n_copies")
-    )
+        none = F.lit(0).cast("long")
+        return seen, texts.select("key", "doc", F.col("key").alias("component"), F.col("doc").alias("class_id"), "copies", none.alias("texts"), none.alias("docs"))
+    counts, linked = found
+    told = texts.join(counts, "key", "left").join(linked.withColumnRenamed("node", "key"), "key", "left")
+    told = told.select("key", "doc", "copies", F.coalesce("texts", F.lit(0)).alias("texts"), F.coalesce("docs", F.lit(0)).alias("docs"), F.coalesce("component", "key").alias("component"))
+    told = Written(told, "told").df
+    named = told.groupBy("component").agg(F.min("doc").alias("class_id"))
+    return seen, told.join(named, "component").select("key", "doc", "component", "class_id", "copies", "texts", "docs")
 
 
 def _cells(members: DataFrame, block: int) -> DataFrame:
@@ -326,14 +339,12 @@ def _own_sets(base: DataFrame, side: DataFrame, n: int) -> DataFrame:
     """The sets of candidates when doc_ids repeat: only texts whose own words make the key, once for each key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
-
         shingles = Shingler(n)
         for batch in batches:
             rows = []
             for text, *own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = words_of(text or "")
-                if words and hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest() == own[0]:
+                if words and _key(words) == own[0]:
                     rows.append((*own, shingles(words).tobytes()))
             kinds = [*(c.type for c in batch.columns[1:]), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["key", "copies", "bands", "cells", "grams"])
@@ -343,15 +354,34 @@ def _own_sets(base: DataFrame, side: DataFrame, n: int) -> DataFrame:
     return found.groupBy("key").agg(*(F.first(c).alias(c) for c in ("copies", "bands", "cells", "grams")))
 
 
+def _keyed(columns: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = (words_of(t or "") for t in batch.column(batch.num_columns - 1).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([_key(w) for w in words], pa.binary())], [*columns, "__key"])
+
+    return run
+
+
 def keep_one(docs: DataFrame, n: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``docs`` with one document of each class: the one with the smallest doc_id (null only if all are null).
+    """``docs`` with one row of each class: one with the smallest doc_id (a null id only if all are null).
 
-    Documents without words are classes of their own and stay. Rows that repeat a kept doc_id stay once.
+    Rows without words are classes of their own and all stay. Null and repeated doc_ids are no reason to go: a row goes
+    only if the row that stays has the same words or is linked to it. Of rows with equal doc_id and words any one stays.
     """
-    classes = ngram_join(docs, n, similarity)
-    gone = classes.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__gone")).distinct()
-    gone = broadcast_if_small(Written(gone, "gone").df, 32)
-    kept = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
-    if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return kept
-    return kept.dropDuplicates(["doc_id"])
+    seen, classes = _classes(docs, n, similarity)
+    classes = Written(classes, "classes").df
+    if seen.groupBy("doc_id").count().where("count > 1").isEmpty():  # an id is a row
+        told = seen.select("doc_id", "key").join(classes.select("key", "class_id"), "key")
+        gone = told.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__gone"))
+        gone = broadcast_if_small(Written(gone, "gone").df, 32)
+        return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__gone")), "left_anti")
+    # A row is its id and words. The first of a class: its smallest id, then the smallest key.
+    first = classes.groupBy("component").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "key")).alias("first"))
+    first = broadcast_if_small(Written(first.select(F.col("first.doc").alias("__doc"), F.col("first.key").alias("__first")), "first").df, 48)
+    schema = T.StructType([*docs.schema.fields, T.StructField("__key", T.BinaryType())])
+    rows = Written(docs.select("*", F.col("text").cast("string").alias("__text")).mapInArrow(_keyed(docs.columns), schema), "keyed").df
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")) & (F.col("__key") == F.col("__first"))
+    kept = rows.where(F.col("__key").isNotNull()).join(first, same, "left_semi")
+    kept = kept.withColumn("__id", F.col("doc_id").cast("long")).dropDuplicates(["__id", "__key"]).drop("__id")
+    return kept.unionByName(rows.where(F.col("__key").isNull())).drop("__key")

@@ -110,3 +110,19 @@ def test_chain_of_loosely_similar_texts(spark, monkeypatch):
     again = spark.createDataFrame([*rows, (0, "quite other words than all the rest of them")], "doc_id long, text string")
     classes = Counter((r.doc_id, r.class_id, r.n_links) for r in ngram_join(again, block=32).collect())
     assert all(classes[(d, *v)] >= 1 for d, v in got.items() if d != 0)
+
+
+def test_keep_one_with_null_and_repeated_ids(spark):
+    near = [f"w{i}" for i in range(60)]
+    a, b = " ".join(near), " ".join([*near[:-1], "other"])
+    rows = [
+        (1, a, "p"), (None, b, "q"),  # a near copy without an id goes
+        (None, "clean one two three four five", "r"), (None, "quite different words that stand alone", "s"),  # others without an id stay
+        (5, "m n o p q r s", "t"), (7, "m n o p q r s", "u"), (7, "the second text of seven is clean", "v"),
+        (None, "clean one two three four five", "w"), (8, "", "x"), (8, None, "y"), (None, "", "z"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string, mark string")
+    out = keep_one(df)
+    assert out.columns == df.columns
+    marks = sorted(r.mark for r in out.collect())
+    assert [m for m in marks if m not in "rw"] == ["p", "s", "t", "v", "x", "y", "z"] and sum(m in "rw" for m in marks) == 1
