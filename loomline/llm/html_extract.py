@@ -11,7 +11,8 @@ from __future__ import annotations
 import html as html_lib
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,9 +41,6 @@ DROP_WORDS = frozenset(
 #: Elements and words that mark the article.
 KEEP_WORDS = frozenset("article post entry story".split())
 
-#: Elements nested deeper than this count as no elements, only as ends of blocks; their text stays.
-MAX_DEPTH = 120
-
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|([^<]+|<)""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
 _MARKS = re.compile(r"[^a-z0-9]+")
@@ -72,6 +70,17 @@ def signature(tag: str, attributes: str) -> str:
 def events(page: str) -> Iterator[tuple[str, str]]:
     """("open", signature), ("close", tag), ("void", tag) and ("text", raw text), with left-out end tags supplied."""
     stack: list[str] = []
+    places: dict[str, list[int]] = {}  # where each tag is open; nesting has no limit, so the stack is not searched
+
+    def last(tags: frozenset[str]) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=-1)
+
+    def close(down: int) -> Iterator[tuple[str, str]]:
+        while len(stack) > down:
+            top = stack.pop()
+            places[top].pop()
+            yield "close", top
+
     at, n = 0, len(page)
     while at < n:
         m = _TOKEN.match(page, at)
@@ -86,48 +95,32 @@ def events(page: str) -> Iterator[tuple[str, str]]:
             continue
         tag = tag.lower()
         if closing:
-            if tag in stack:
-                while True:
-                    top = stack.pop()
-                    yield "close", top
-                    if top == tag:
-                        break
+            if places.get(tag):
+                yield from close(places[tag][-1])
             continue
-        if tag in BLOCK and "p" in stack:  # a block ends an open paragraph and what is open inside it
-            inside = stack[len(stack) - stack[::-1].index("p") :]
-            if not SCOPE.intersection(inside):
-                while True:
-                    top = stack.pop()
-                    yield "close", top
-                    if top == "p":
-                        break
+        # A block ends an open paragraph and what is open inside it.
+        if tag in BLOCK and places.get("p") and last(SCOPE) < places["p"][-1]:
+            yield from close(places["p"][-1])
         if tag in CLOSES:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i] in CLOSES[tag]:
-                    for top in reversed(stack[i:]):
-                        yield "close", top
-                    del stack[i:]
-                    break
-                if stack[i] in SCOPE and stack[i] not in CLOSES[tag]:
-                    break
+            ended = last(CLOSES[tag])
+            if ended > last(SCOPE - CLOSES[tag]):
+                # All that is open from the innermost such element on.
+                yield from close(ended)
         if tag in VOID or attributes.endswith("/"):
             yield "void", tag
             continue
-        if len(stack) >= MAX_DEPTH:
-            yield "void", tag
-            continue
         yield "open", signature(tag, attributes)
-        stack.append(tag)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             stop = end.start() if end else n
             if stop > at:
                 yield "raw", page[at:stop]
             at = end.end() if end else n
-            stack.pop()
             yield "close", tag
-    for top in reversed(stack):
-        yield "close", top
+            continue
+        places.setdefault(tag, []).append(len(stack))
+        stack.append(tag)
+    yield from close(0)
 
 
 # A wrapper node is [signature, optional, repeated, slot characters, slot characters inside links, kids].
@@ -167,8 +160,30 @@ def page_tree(page: str) -> list:
     return root
 
 
+def _run(task: Generator):
+    """The result of a recursive generator that yields its sub-tasks; pages may nest deeper than Python's stack."""
+    tasks, value = [task], None
+    while tasks:
+        try:
+            tasks.append(tasks[-1].send(value))
+            value = None
+        except StopIteration as done:
+            tasks.pop()
+            value = done.value
+    return value
+
+
 def fold(kids: list[list]) -> list[list]:
     """Repeated groups: from the first child with a signature on, all children up to its next occurrence repeat."""
+    return _run(_folding(kids)) if len(kids) > 1 else kids
+
+
+def merge(a: list, b: list) -> list:
+    """The smallest wrapper that matches what either matches: children aligned by their longest common sequence."""
+    return _run(_merging(a, b))
+
+
+def _folding(kids: list[list]) -> Generator:
     out: list[list] = []
     place: dict[str, int] = {}
     for kid in kids:
@@ -177,26 +192,31 @@ def fold(kids: list[list]) -> list[list]:
             place[kid[0]] = len(out)
             out.append(kid)
         else:
-            out[i] = merge(out[i], kid)
+            out[i] = (yield _merging(out[i], kid)) if out[i][5] or kid[5] else _joined(out[i], kid, [])
             for group in out[i:]:
                 group[2] = True
     return out
 
 
-def merge(a: list, b: list) -> list:
-    """The smallest wrapper that matches what either matches: children aligned by their longest common sequence."""
+def _joined(a: list, b: list, kids: list[list]) -> list:
+    return [a[0], a[1] or b[1], a[2] or b[2], a[3] + b[3], a[4] + b[4], kids]
+
+
+def _merging(a: list, b: list) -> Generator:
     x, y = a[5], b[5]
+    kids: list[list] = []
     if [k[0] for k in x] == [k[0] for k in y]:
-        kids = [merge(p, q) for p, q in zip(x, y, strict=True)]
+        for p, q in zip(x, y, strict=True):
+            kids.append((yield _merging(p, q)) if p[5] or q[5] else _joined(p, q, []))
     else:
         best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
         for i in range(len(x) - 1, -1, -1):
             for j in range(len(y) - 1, -1, -1):
                 best[i][j] = best[i + 1][j + 1] + 1 if x[i][0] == y[j][0] else max(best[i + 1][j], best[i][j + 1])
-        kids, i, j = [], 0, 0
+        i, j = 0, 0
         while i < len(x) or j < len(y):
             if i < len(x) and j < len(y) and x[i][0] == y[j][0]:
-                kids.append(merge(x[i], y[j]))
+                kids.append((yield _merging(x[i], y[j])) if x[i][5] or y[j][5] else _joined(x[i], y[j], []))
                 i, j = i + 1, j + 1
             elif j == len(y) or (i < len(x) and best[i + 1][j] >= best[i][j + 1]):
                 kids.append([x[i][0], True, *x[i][2:]])
@@ -204,16 +224,43 @@ def merge(a: list, b: list) -> list:
             else:
                 kids.append([y[j][0], True, *y[j][2:]])
                 j += 1
-        kids = fold(kids)
-    return [a[0], a[1] or b[1], a[2] or b[2], a[3] + b[3], a[4] + b[4], kids]
+        kids = yield _folding(kids)
+    return _joined(a, b, kids)
+
+
+def _flat(node: list) -> str:
+    """The wrapper as JSON: nodes in order, each with its number of children in place of them."""
+    out, todo = [], [node]
+    while todo:
+        now = todo.pop()
+        out.append([*now[:5], len(now[5])])
+        todo.extend(reversed(now[5]))
+    return json.dumps(out)
+
+
+def _tree(flat: str) -> list:
+    done: list[list] = []
+    for row in reversed(json.loads(flat)):
+        done.append([*row[:5], [done.pop() for _ in range(row[5])]])
+    return done[0]
 
 
 def expression(node: list) -> str:
     """The wrapper as a union-free regular expression of tags, for people."""
-    inner = ("#" if node[3] else "") + "".join(expression(k) for k in node[5])
-    if not node[0]:
-        return inner
-    return f"(<{node[0]}>{inner}</>)" + ("*" if node[1] and node[2] else "+" if node[2] else "?" if node[1] else "")
+    out: list[str] = []
+    todo: list[list | str] = [node]
+    while todo:
+        now = todo.pop()
+        if isinstance(now, str):
+            out.append(now)
+            continue
+        if now[0]:
+            out.append(f"(<{now[0]}>")
+            todo.append("</>)" + ("*" if now[1] and now[2] else "+" if now[2] else "?" if now[1] else ""))
+        if now[3]:
+            out.append("#")
+        todo.extend(reversed(now[5]))
+    return "".join(out)
 
 
 def article_paths(wrapper: list) -> list[str]:
@@ -221,42 +268,68 @@ def article_paths(wrapper: list) -> list[str]:
 
     Marked elements come first; without any, the path goes down while one child holds most of the text outside links.
     """
-    marked: list[str] = []
-
-    def search(node: list, path: str) -> None:
+    order, todo = [], [wrapper]
+    while todo:
+        node = todo.pop()
+        order.append(node)
+        todo.extend(node[5])
+    weight: dict[int, int] = {}  # text outside links, without dropped elements; children come first
+    for node in reversed(order):
+        weight[id(node)] = node[3] - node[4] + sum(weight[id(k)] for k in node[5] if not dropped(k[0], True))
+
+    marked: set[str] = set()
+    places: list[tuple[list, tuple | None]] = [(wrapper, None)]  # a node and its path: signature and the path above
+    while places:
+        node, path = places.pop()
         for kid in node[5]:
-            own = f"{path}/{kid[0]}"
+            own = (kid[0], path)
             if dropped(kid[0], False):
                 continue
-            if marks_article(kid[0]) and weigh(kid) > 0:
-                marked.append(own)
+            if marks_article(kid[0]) and weight[id(kid)] > 0:
+                parts = []
+                while own is not None:
+                    parts.append(own[0])
+                    own = own[1]
+                marked.add("/" + "/".join(reversed(parts)))
             else:
-                search(kid, own)
-
-    def weigh(node: list) -> int:
-        return node[3] - node[4] + sum(weigh(k) for k in node[5] if not dropped(k[0], True))
-
-    search(wrapper, "")
+                places.append((kid, own))
     if marked:
-        return sorted(set(marked))
-    node, path = wrapper, ""
+        return sorted(marked)
+    node, parts = wrapper, [""]
     while True:
-        total = weigh(node)
+        total = weight[id(node)]
         kids: dict[str, list[list]] = {}
         for kid in node[5]:
             if not dropped(kid[0], False):
                 kids.setdefault(kid[0], []).append(kid)
-        best = max(kids.values(), key=lambda k: sum(map(weigh, k)), default=None)
-        if best is None or len(best) > 1 or best[0][0].split(" ")[0] not in BLOCK or best[0][0].split(" ")[0] in ("p", "ul", "ol", "table") or best[0][2] or weigh(best[0]) < 0.6 * total or total == 0:
-            return [path]
-        node, path = best[0], f"{path}/{best[0][0]}"
+        best = max(kids.values(), key=lambda k: sum(weight[id(x)] for x in k), default=None)
+        if best is None or len(best) > 1 or best[0][0].split(" ")[0] not in BLOCK or best[0][0].split(" ")[0] in ("p", "ul", "ol", "table") or best[0][2] or weight[id(best[0])] < 0.6 * total or total == 0:
+            return ["/".join(parts)]
+        node = best[0]
+        parts.append(node[0])
+
+
+@lru_cache(maxsize=1000)
+def _steps(paths: frozenset[str]) -> dict:
+    """The paths as nested steps: signature -> steps below; the end of a path holds ""."""
+    root: dict = {}
+    for path in paths:
+        at = root
+        for sig in path.split("/")[1:]:
+            at = at.setdefault(sig, {})
+        at[""] = True
+    return root
+
+
+_NO_STEPS: dict = {}
 
 
 def read(page: str, paths: frozenset[str]) -> str:
     """The blocks of a page under the article paths, one a line, without dropped elements."""
     blocks: list[str] = []
     now: list[str] = []
-    stack: list[tuple[str, bool, bool]] = [("", "" in paths, False)]  # path, in the article, dropped
+    steps = _steps(paths)
+    stack: list[tuple[dict, bool, bool]] = [(steps, "" in steps, False)]  # steps below, in the article, dropped
 
     def end() -> None:
         if now:
@@ -266,7 +339,7 @@ def read(page: str, paths: frozenset[str]) -> str:
             now.clear()
 
     for kind, value in events(page):
-        path, inside, out = stack[-1]
+        steps, inside, out = stack[-1]
         if kind == "text":
             if inside and not out:
                 now.append(value)
@@ -276,9 +349,9 @@ def read(page: str, paths: frozenset[str]) -> str:
                 end()
             elif inside and not out and tag in ("td", "th"):
                 now.append(" ")
-            own = f"{path}/{value}"
-            within = inside or own in paths
-            stack.append((own, within, out or (own not in paths and dropped(value, inside))))
+            below = steps.get(value, _NO_STEPS)
+            own = "" in below
+            stack.append((below, inside or own, out or (not own and dropped(value, inside))))
         elif kind == "close":
             stack.pop()
             if value in BLOCK:
@@ -314,13 +387,13 @@ def _infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 tree = page_tree(page)
                 known[host] = merge(known[host], tree) if host in known else tree
         yield pa.RecordBatch.from_arrays(
-            [pa.array(list(known), pa.string()), pa.array([part // 16] * len(known), pa.int32()), pa.array([json.dumps(w) for w in known.values()], pa.string())], ["host", "salt", "wrapper"]
+            [pa.array(list(known), pa.string()), pa.array([part // 16] * len(known), pa.int32()), pa.array([_flat(w) for w in known.values()], pa.string())], ["host", "salt", "wrapper"]
         )
 
 
 def _merge_all(table: pa.Table) -> list:
     # Stable order: the result does not depend on which task came first.
-    trees = [json.loads(w) for w in sorted(table.column("wrapper").to_pylist())]
+    trees = [_tree(w) for w in sorted(table.column("wrapper").to_pylist())]
     out = trees[0]
     for tree in trees[1:]:
         out = merge(out, tree)
@@ -328,7 +401,7 @@ def _merge_all(table: pa.Table) -> list:
 
 
 def _merge_salted(table: pa.Table) -> pa.Table:
-    return pa.table({"host": [table.column("host")[0].as_py()], "wrapper": [json.dumps(_merge_all(table))]})
+    return pa.table({"host": [table.column("host")[0].as_py()], "wrapper": [_flat(_merge_all(table))]})
 
 
 def _merge_host(table: pa.Table) -> pa.Table:

@@ -30,3 +30,27 @@ def test_table(spark):
     assert len(out) == 7 and out[1].text == out[2].text == WANT and out[1].n_chars == len(WANT)
     assert out[3].text == out[4].text == "" and out[5].text == "deep" and out[6].text == "unclosed" and out[7].text == "plain words"
     assert extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_nesting_has_no_limit():
+    for depth in (50, 130, 20_000):
+        deep = "<div>" * depth + "inner" + "</div>" * depth
+        page = f"<body><article><p>first</p>{deep}<p>last</p></article><div>outside</div></body>"
+        assert extract(page, frozenset(article_paths(page_tree(page)))) == "first\ninner\nlast"
+        inner = "<div>" * depth + "<script>var x;</script><nav>menu</nav><form>mail</form>text" + "</div>" * depth
+        page = f"<article>{inner}</article>"
+        tree = page_tree(page)
+        assert extract(page, frozenset(article_paths(tree))) == "text"
+        assert expression(merge(tree, page_tree(page))).count("<div>") == depth
+
+
+def test_unclosed_inline_tags_do_not_end_the_article():
+    page = "<article>" + "<div><b>bold<i>more" * 100 + "</div>" * 100 + "<p>rest</p></article><div>outside</div>"
+    assert extract(page, frozenset(article_paths(page_tree(page)))).endswith("\nrest")
+
+
+def test_deep_wrappers_pass_between_tasks(spark):
+    page = "<main>" + "<div>" * 6000 + "<p>deep words</p>" + "</div>" * 6000 + "<p>last</p></main>"
+    rows = [(i, "http://d.org/", page) for i in range(4)]
+    out = extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()
+    assert [r.text for r in out] == ["deep words\nlast"] * 4
