@@ -7,17 +7,21 @@ documents are sampled by a hash of their id.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import Written, hashed_unit
+from loomline.llm.common import BROADCAST_BYTES, Written, hashed_unit
 
 #: Cells are raked on the driver up to this number, and in a written table beyond it.
 DRIVER_CELLS = 100_000
 MARGINS = ("__source", "__lang", "__topic")
+#: Raking stops after this many rounds, or when no factor of a round differs from 1 by more.
+ROUNDS, TOLERANCE = 200, 1e-10
+NO_CATEGORY = "the target shares name no category of the table"
 
 
 def default_topic(text: Column) -> Column:
@@ -39,8 +43,9 @@ def tempered(totals: Mapping[str, float], power: float) -> dict[str, float]:
     return {k: v / total for k, v in raised.items()}
 
 
-def rake(tokens: np.ndarray, margins: list[np.ndarray], targets: list[np.ndarray], rounds: int = 200, tolerance: float = 1e-10) -> np.ndarray:
+def rake(tokens: np.ndarray, margins: list[np.ndarray], targets: list[np.ndarray], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> np.ndarray:
     """Cell weights with the marginal shares ``targets``; margins give each cell's category number, by dimension."""
+    worst = 0.0
     mass = tokens / max(tokens.sum(), 1e-300)
     for _ in range(rounds):
         worst = 0.0
@@ -50,10 +55,15 @@ def rake(tokens: np.ndarray, margins: list[np.ndarray], targets: list[np.ndarray
             worst = max(worst, np.abs(factor - 1).max(initial=0.0))
             mass = mass * factor[at]
         if worst < tolerance:
-            break
+            return mass
+    _missed(rounds, worst)
     return mass
 
 
+def _missed(rounds: int, worst: float) -> None:
+    warnings.warn(f"raking has not converged in {rounds} rounds: a factor still differs from 1 by {worst:.3g}, so target shares are missed", RuntimeWarning, stacklevel=3)
+
+
 def calibrate(tokens: np.ndarray, ratio: np.ndarray, budget: float) -> np.ndarray:
     """Probabilities min(1, s * ratio), with s such that the expected tokens are ``budget`` (or all there are)."""
     if budget >= tokens[ratio > 0].sum():
@@ -63,6 +73,8 @@ def calibrate(tokens: np.ndarray, ratio: np.ndarray, budget: float) -> np.ndarra
         high *= 2
     for _ in range(200):
         s = (low + high) / 2
+        if s in (low, high):
+            break
         low, high = (s, high) if (np.minimum(1, s * ratio) * tokens).sum() < budget else (low, s)
     return np.minimum(1, high * ratio)
 
@@ -73,7 +85,7 @@ def _targets(totals: Mapping[str, float], given: Mapping[str, float] | None, pow
     there = {k: float(given.get(k, 0.0)) for k in totals}
     total = sum(there.values())
     if total <= 0:
-        raise ValueError("the target shares name no category of the table")
+        raise ValueError(NO_CATEGORY)
     return {k: v / total for k, v in there.items()}
 
 
@@ -92,10 +104,10 @@ def _rake_on_driver(cells: list, given: list, powers: list, keep: float) -> list
     return [(*(r[n] for n in MARGINS), float(w), float(q)) for r, w, q in zip(cells, weight, p, strict=True)]
 
 
-def _rake_in_tables(cells: DataFrame, given: list, powers: list, keep: float, rounds: int = 12) -> DataFrame:
-    """The same raking on a table of cells that is too large for the driver; sums per category are joined back."""
+def _rake_in_tables(cells: DataFrame, given: list, powers: list, keep: float, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+    """The same raking, by the same rule, on a table of cells too large for the driver; factors are joined back."""
     total = cells.agg(F.sum("__tokens")).first()[0] or 1.0
-    now = cells.withColumn("__mass", F.col("__tokens") / total)
+    now = Written(cells.withColumn("__mass", F.col("__tokens") / total), "mass")
     shares = []
     for name, g, power in zip(MARGINS, given, powers, strict=True):
         sums = cells.groupBy(name).agg(F.sum("__tokens").alias("__t"))
@@ -104,26 +116,41 @@ def _rake_in_tables(cells: DataFrame, given: list, powers: list, keep: float, ro
         else:
             named = cells.sparkSession.createDataFrame([(k, float(v)) for k, v in g.items()], f"{name} string, __g double")
             sums = sums.join(named, name, "left").select(name, F.coalesce("__g", F.lit(0.0)).alias("__t"))
-        whole = sums.agg(F.sum("__t")).first()[0] or 1.0
-        shares.append(sums.select(name, (F.col("__t") / whole).alias("__share")))
+        sums = Written(sums, "shares").df
+        whole = sums.agg(F.sum("__t")).first()[0] or 0.0
+        if g is not None and whole <= 0:
+            raise ValueError(NO_CATEGORY)
+        shares.append(sums.select(name, (F.col("__t") / (whole or 1.0)).alias("__share")))
     for _ in range(rounds):
+        worst, mass, factors = 0.0, now.df, []
         for name, share in zip(MARGINS, shares, strict=True):
-            factor = now.groupBy(name).agg(F.sum("__mass").alias("__now")).join(share, name)
-            factor = factor.select(name, F.when(F.col("__now") > 0, F.col("__share") / F.col("__now")).otherwise(1.0).alias("__factor"))
-            now = now.join(factor, name).select(*MARGINS, "__tokens", (F.col("__mass") * F.col("__factor")).alias("__mass"))
-        now = Written(now, "cells").df
-    now = now.withColumn("__weight", F.when(F.col("__tokens") > 0, F.col("__mass") * total / F.col("__tokens")).otherwise(0.0))
+            factor = mass.groupBy(name).agg(F.sum("__mass").alias("__now")).join(share, name)
+            factor = Written(factor.select(name, F.when(F.col("__now") > 0, F.col("__share") / F.col("__now")).otherwise(1.0).alias("__factor")), "factors")
+            factors.append(factor)
+            n, size, off = factor.df.agg(F.count(F.lit(1)), F.sum(F.octet_length(name) + 32), F.max(F.abs(F.col("__factor") - 1))).first()
+            worst = max(worst, off or 0.0)
+            side = F.broadcast(factor.df) if n and size <= BROADCAST_BYTES else factor.df.hint("merge")
+            mass = mass.join(side, name).select(*MARGINS, "__tokens", (F.col("__mass") * F.col("__factor")).alias("__mass"))
+        before, now = now, Written(mass, "mass")
+        for done in (before, *factors):
+            done.drop()
+        if worst < tolerance:
+            break
+    else:
+        _missed(rounds, worst)
+    weighed = now.df.withColumn("__weight", F.when(F.col("__tokens") > 0, F.col("__mass") * total / F.col("__tokens")).otherwise(0.0))
     low, high, budget = 0.0, 1.0, keep * total
-    expected = lambda s: now.agg(F.sum(F.least(F.lit(1.0), F.col("__weight") * s) * F.col("__tokens"))).first()[0] or 0.0
-    most = expected(1e18)
-    if budget >= most:
-        return now.select(*MARGINS, "__weight", (F.col("__weight") > 0).cast("double").alias("__p"))
+    expected = lambda s: weighed.agg(F.sum(F.least(F.lit(1.0), F.col("__weight") * s) * F.col("__tokens"))).first()[0] or 0.0
+    if budget >= (weighed.agg(F.sum(F.when(F.col("__weight") > 0, F.col("__tokens")))).first()[0] or 0.0):
+        return weighed.select(*MARGINS, "__weight", (F.col("__weight") > 0).cast("double").alias("__p"))
     while expected(high) < budget:
         high *= 2
-    for _ in range(40):
+    for _ in range(200):
         s = (low + high) / 2
+        if s in (low, high):
+            break
         low, high = (s, high) if expected(s) < budget else (low, s)
-    return now.select(*MARGINS, "__weight", F.least(F.lit(1.0), F.col("__weight") * high).alias("__p"))
+    return weighed.select(*MARGINS, "__weight", F.least(F.lit(1.0), F.col("__weight") * high).alias("__p"))
 
 
 def mix(
@@ -141,7 +168,7 @@ def mix(
 
     n_tokens counts the runs of non-blank characters. Shares are targets of token mass for each marginal (default:
     the present ones, tempered by ``powers``); categories without a target get none. A cell's weight is its raked
-    mass over its present mass; a document is selected with probability min(1, s * weight), s giving ``keep`` of
+    mass over its present mass (raking that does not converge warns); a document is selected with probability min(1, s * weight), s giving ``keep`` of
     all tokens in expectation, by a number hashed from seed and doc_id, so repeated ids share their fate. Null
     source, lang or topic is the category "". Empty texts have no tokens and take their cell's probability (0 in a
     cell without tokens). An empty table stays empty. Columns of the input with these names are replaced.

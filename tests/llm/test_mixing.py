@@ -45,3 +45,29 @@ def test_tables_equal_driver(spark):
 
 def test_empty(spark):
     assert mix(spark.createDataFrame([], "doc_id long, text string, lang string, source string")).count() == 0
+
+
+def slow_cells(spark):
+    rows = []
+    for i in range(40):
+        a, b = ("x", "p") if i < 36 else ("x", "q") if i < 38 else ("y", "p") if i == 38 else ("y", "q")
+        rows.append((i, "w " * (50 + i), b, a))
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+
+
+def test_tables_stop_by_the_rule_of_the_driver(spark):
+    shares = {"source_shares": {"x": 0.5, "y": 0.5}, "lang_shares": {"p": 0.45, "q": 0.55}}
+    a = {r.doc_id: (r.weight, r.probability, r.selected) for r in mix(slow_cells(spark), **shares).collect()}
+    b = {r.doc_id: (r.weight, r.probability, r.selected) for r in mix(slow_cells(spark), **shares, driver_cells=0).collect()}
+    assert all(b[k][:2] == pytest.approx(v[:2], rel=1e-8) and b[k][2] == v[2] for k, v in a.items())
+
+
+def test_both_ways_refuse_shares_of_no_category(spark):
+    for cells in (0, 100):
+        with pytest.raises(ValueError, match="no category"):
+            mix(slow_cells(spark), source_shares={"nowhere": 1.0}, driver_cells=cells)
+
+
+def test_raking_that_does_not_converge_warns():
+    with pytest.warns(RuntimeWarning, match="not converged"):
+        rake(np.array([1.0, 1.0]), [np.array([0, 1]), np.array([0, 1])], [np.array([0.5, 0.5]), np.array([0.9, 0.1])])
