@@ -21,12 +21,22 @@ BITS = 18
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BY_KIND = np.uint64(0xD6E8FEB86659FD93)
 _RUNS = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
+#: Longer runs of non-blank characters are cut into consecutive chunks of so many, which all give features.
+CHUNK = 80
+
+
+def chunks_of(text: str) -> list[str]:
+    """Runs of non-blank characters, long ones in pieces."""
+    runs = text.split()
+    if len(max(runs, key=len, default="")) <= CHUNK:
+        return runs
+    return [r[at : at + CHUNK] for r in runs for at in range(0, len(r), CHUNK)]
 
 
 def shape(chunk: str) -> str:
     """Word shape: runs of letters as X, Xx or x, digits as 9, other characters kept up to three of a run."""
     out = []
-    for run in _RUNS.findall(chunk[:80]):
+    for run in _RUNS.findall(chunk):
         if run[0].isalpha():
             out.append("X" if run.isupper() and len(run) > 1 else "Xx" if run[0].isupper() else "x")
         elif run[0].isdigit():
@@ -37,7 +47,10 @@ def shape(chunk: str) -> str:
 
 
 class Features:
-    """Text -> sorted distinct numbers of its n-grams: words, word pairs, shapes, shape pairs and triples, lengths."""
+    """Text -> sorted distinct numbers of its n-grams: words, word pairs, shapes, shape pairs and triples, lengths.
+
+    A word is a run of non-blank characters; one of more than CHUNK characters is cut into consecutive words.
+    """
 
     def __init__(self, bits: int = BITS, limit: int = 600_000):
         import xxhash
@@ -68,7 +81,7 @@ class Features:
         return np.fromiter(map(self.seen.__getitem__, chunks), np.int64, len(chunks))
 
     def __call__(self, text: str) -> np.ndarray:
-        chunks = text.split()
+        chunks = chunks_of(text)
         if not chunks:
             return np.zeros(0, np.int64)
         at = self._numbers(chunks)

@@ -1,7 +1,7 @@
 import random
 import zlib
 
-from loomline.llm.quality import fit, score_quality
+from loomline.llm.quality import Features, chunks_of, fit, score_quality
 
 
 def corpus(n=400):
@@ -31,3 +31,12 @@ def test_no_labels_and_one_class(spark):
     none = score_quality(docs, spark.createDataFrame([], "doc_id long, quality int")).collect()
     assert {r.score for r in none} == {0.5}
     assert fit([], []).score([]) == 0.5
+
+
+def test_long_runs_give_features_to_their_end():
+    features, head = Features(), "a1" * 40
+    rng = random.Random(4)
+    tails = ["".join(rng.choice("abcdef0123456789+/") for _ in range(4000)) for _ in range(2)]
+    one, two = (set(features(head + t)) for t in tails)
+    assert min(len(one), len(two)) > 150 and len(one & two) < 0.2 * len(one)
+    assert "".join(chunks_of(head + tails[0])) == head + tails[0] and chunks_of("a " + "b" * 80) == ["a", "b" * 80]
