@@ -5,7 +5,11 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,6 +67,19 @@ class Written:
         delete(self.spark, self.path)
 
 
+def slices(batch: pa.RecordBatch, column: int, most_bytes: int = 4 << 20, most_rows: int = 2048) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of at most so many rows, and bytes of a string or binary column unless one row has more."""
+    if not batch.num_rows:
+        return
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    upto, low = np.cumsum(sizes, dtype=np.int64), 0
+    while low < batch.num_rows:
+        to = int(np.searchsorted(upto, (upto[low - 1] if low else 0) + most_bytes, "right"))
+        to = min(max(to, low + 1), low + most_rows, batch.num_rows)
+        yield batch.slice(low, to - low)
+        low = to
+
+
 def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES, extra=None) -> DataFrame:
     """``df`` with a broadcast hint if rows x row_bytes (+ the sum of ``extra``) fits ``limit``; else ``df``.
 

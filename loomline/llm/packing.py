@@ -10,33 +10,32 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import Written
+from loomline.llm.common import Written, slices
 
 
 def _tokenizer(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        from loomline.llm.tokens import WordIds
+        from loomline.llm.tokens import token_ids
 
-        part, at, words, end = TaskContext.get().partitionId(), 0, WordIds(path), end_id.to_bytes(4, "little")
+        part, at, tokenizer = TaskContext.get().partitionId(), 0, token_ids(path)
         for batch in batches:
-            for low in range(0, batch.num_rows, 512):
-                rows = batch.slice(low, 512)
-                ids = [x + end for x in words.encode_all([t or "" for t in rows.column(1).to_pylist()])]
-                lengths = [len(x) // 4 for x in ids]
-                starts = []
-                for n in lengths:
-                    starts.append(at)
-                    at += n
+            for rows in slices(batch, 1):
+                ids, lengths = tokenizer.encode(rows.column(1), end_id)
+                stops = np.cumsum(lengths)
+                offsets = np.append(0, 4 * stops).astype(np.int32)
+                packed = pa.BinaryArray.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(ids.astype("<u4", copy=False))])
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), pa.array([part] * len(ids), pa.int32()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(ids, pa.binary())],
+                    [rows.column(0), pa.array(np.full(len(lengths), part, np.int32)), pa.array(at + stops - lengths), pa.array(lengths), packed],
                     ["doc_id", "part", "part_start", "doc_tokens", "ids"],
                 )
+                at += int(stops[-1])
 
     return run
 
