@@ -14,10 +14,15 @@ def dot(a: Column, b: Column) -> Column:
     return total(F.zip_with(a, b, lambda x, y: x * y))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once: inside a lambda an outer expression is computed again for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def softmax(z: Column, temperature: Column | float = 1.0) -> Column:
     t = temperature if isinstance(temperature, Column) else F.lit(float(temperature))
-    e = F.transform(z, lambda x: F.exp((x - F.array_max(z)) / t))
-    return F.transform(e, lambda x: x / total(e))
+    e = let(F.array_max(z), lambda m: F.transform(z, lambda x: F.exp((x - m) / t)))
+    return let(e, renormalise)
 
 
 def argmax(p: Column) -> Column:
@@ -73,7 +78,7 @@ def smooth(y: Column, s: float) -> Column:
 
 
 def renormalise(p: Column) -> Column:
-    return F.transform(p, lambda x: x / total(p))
+    return let(total(p), lambda s: F.transform(p, lambda x: x / s))
 
 
 def symmetric_kl(p: Column, q: Column, floor: float = 1e-12) -> Column:
@@ -111,5 +116,5 @@ def apply_histogram(p: Column, accuracy: Column) -> Column:
     """Set the top probability to its bin's accuracy and share out the rest in proportion (evenly if it is zero)."""
     top, at = F.array_max(p), argmax(p)
     rest = 1 - top
-    scaled = F.transform(p, lambda x, i: F.when(i == at, accuracy).when(rest > 0, x * (1 - accuracy) / rest).otherwise((1 - accuracy) / (F.size(p) - 1)))
+    scaled = let(F.struct(at.alias("at"), rest.alias("rest")), lambda m: F.transform(p, lambda x, i: F.when(i == m["at"], accuracy).when(m["rest"] > 0, x * (1 - accuracy) / m["rest"]).otherwise((1 - accuracy) / (F.size(p) - 1))))
     return F.when(accuracy.isNull() | (F.size(p) == 1), p).otherwise(scaled)

@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomline.sources.shared import broadcast_if_small, written
+
 
 def kth(df: DataFrame, by: str, order: list, k: int) -> DataFrame:
     """The k-th row of each group; the first k are kept by a window group limit before the shuffle."""
@@ -33,11 +35,16 @@ def lexicographic(df: DataFrame, by: str, constraint: Column, order: list[Column
 
 
 def as_of(facts: DataFrame, at: Column, rates: DataFrame, effective: str, columns: list[str]) -> DataFrame:
-    """The last rate effective at or before each fact's date. Rates become intervals; the small side is range-joined."""
-    until = F.lead(effective).over(Window.partitionBy("__one").orderBy(effective))
-    spans = rates.withColumn("__one", F.lit(1)).withColumn("__until", until).drop("__one")
-    on = (at >= F.col(effective)) & (F.col("__until").isNull() | (at < F.col("__until")))
-    return facts.join(F.broadcast(spans.select(effective, "__until", *columns)), on, "left").drop("__until")
+    """The last rate effective at or before each fact's date, by one equi-join on the date; of equal dates any one.
+
+    Only distinct dates meet the rates: on one line of dates, which the calendar bounds, each takes the last rate before it.
+    """
+    rate = F.struct(effective, *columns)
+    line = facts.select(at.cast("date").alias("__at")).where("__at IS NOT NULL").distinct().withColumn("__rate", F.lit(None).cast(rates.select(rate.alias("r")).schema["r"].dataType))
+    line = line.unionByName(rates.groupBy(F.col(effective).cast("date").alias("__at")).agg(F.max(rate).alias("__rate")))
+    told = line.groupBy("__at").agg(F.max("__rate").alias("__rate")).withColumn("__rate", F.last("__rate", ignorenulls=True).over(Window.orderBy("__at")))
+    told = broadcast_if_small(written(told, "dates"), 64)
+    return facts.join(told, at.cast("date") == F.col("__at"), "left").select(*facts.columns, "__rate.*")
 
 
 def walk(df: DataFrame, key: str, pointer: str, hops: int) -> DataFrame:

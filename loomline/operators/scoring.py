@@ -161,15 +161,3 @@ def percentile_trunc(values: Column, p: float) -> Column:
 def percentile_nm1(values: Column, p: float) -> Column:
     """sorted[floor(p (n - 1))]."""
     return F.element_at(values, F.floor(F.lit(p) * (F.size(values) - 1)).cast("int") + 1)
-
-
-def order_statistics(df: DataFrame, by: str, value: str, ranks: dict[str, Column], buckets: int = 2048) -> DataFrame:
-    """Values at 0-based ranks (columns over n) of each group, without gathering a group: equal values are counted first.
-
-    Counts per distinct value are accumulated in a window over the distinct values of a group.
-    """
-    counts = df.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count(F.lit(1)).alias("__m"))
-    w = Window.partitionBy(by).orderBy(value)
-    told = counts.withColumns({"__hi": F.sum("__m").over(w), "n": F.sum("__m").over(Window.partitionBy(by))})
-    aggs = [F.max(F.when((F.col("__hi") - F.col("__m") <= r) & (r < F.col("__hi")), F.col(value))).alias(name) for name, r in ranks.items()]
-    return told.groupBy(by, "n").agg(*aggs)

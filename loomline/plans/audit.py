@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from loomline.functions import text as T
 from loomline.functions.dists import total, valid_distribution
+from loomline.operators.corpus import hash_sample
+from loomline.operators.ranks import ranked, set_digest, set_digest_sql
 from loomline.plans.corpus import SPLIT, D, H, docs, split_docs
 from loomline.plans.registry import query, table
 
@@ -62,26 +64,26 @@ def premise_group(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", F.sha2(F.split_part("text", F.lit(". "), F.lit(1)), 256).alias("premise"))
 
 
-EPOCH = "o AS (SELECT epoch, doc_id, source, h, row_number() OVER (PARTITION BY epoch, shard ORDER BY sha256(epoch || ':' || doc_id), doc_id) AS k FROM (SELECT e.epoch, doc_id, source, h, doc_id // 512 AS shard FROM d, range(2) e(epoch)))"
+EPOCH = "o AS (SELECT e.epoch AS epoch, doc_id, source, h, row_number() OVER (PARTITION BY e.epoch ORDER BY sha256(e.epoch || ':' || doc_id), doc_id) AS k FROM d, range(2) e(epoch))"
 
 
 @query("win_epoch_order", f"WITH {D}, {EPOCH} SELECT epoch, doc_id, k AS presentation, ceil(k / 32)::BIGINT AS step FROM o")
 def epoch_order(spark, sf):
-    """A seeded order per epoch and shard: presentation k and its step of 32, the last step partial."""
-    return _epochs(spark, sf).select("epoch", "doc_id", F.col("k").cast("long").alias("presentation"), F.ceil(F.col("k") / 32).alias("step"))
+    """A seeded order of all rows in each epoch: presentation k and its step of 32, the last step partial."""
+    d = table(spark, sf, "documents").select("doc_id", F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))).alias("epoch"))
+    d = d.withColumn("o", F.sha2(F.concat(F.col("epoch").cast("string"), F.lit(":"), F.col("doc_id").cast("string")), 256))
+    return ranked(d, ["o", "doc_id"], by=["epoch"], name="presentation").select("epoch", "doc_id", "presentation", F.ceil(F.col("presentation") / 32).alias("step"))
 
 
-def _epochs(spark, sf):
-    d = docs(spark, sf).select("doc_id", "source", "h", F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))).alias("epoch"))
-    d = d.withColumn("shard", F.floor(F.col("doc_id") / 512))
-    w = Window.partitionBy("epoch", "shard").orderBy(F.sha2(F.concat(F.col("epoch").cast("string"), F.lit(":"), F.col("doc_id").cast("string")), 256), "doc_id")
-    return d.withColumn("k", F.row_number().over(w))
-
-
-@query("audit_exposure", f"WITH {D}, {EPOCH}, cut AS (SELECT * FROM o WHERE k <= 300) SELECT source, count(*) AS presented, count(DISTINCT h) AS states, sha256(string_agg(DISTINCT h, chr(10) ORDER BY h)) AS digest FROM cut GROUP BY source")
+@query("audit_exposure", f"WITH {D}, {EPOCH}, cut AS (SELECT * FROM o WHERE k <= 300) SELECT * FROM (SELECT source, count(*) AS presented, count(DISTINCT h) AS states FROM cut GROUP BY source) JOIN ({set_digest_sql('cut', 'source', 'h')}) USING (source)")
 def exposure(spark, sf):
-    cut = _epochs(spark, sf).where("k <= 300")
-    return cut.groupBy("source").agg(F.count(F.lit(1)).alias("presented"), F.count_distinct("h").alias("states"), F.sha2(F.array_join(F.sort_array(F.collect_set("h")), "\n"), 256).alias("digest"))
+    """What the first 300 presentations of each epoch (the run's own budget) held, by source."""
+    d, cut = docs(spark, sf).select("doc_id", "source", "h"), None
+    for epoch in range(2):
+        one = hash_sample(d, "doc_id", 300, epoch)
+        cut = one if cut is None else cut.unionByName(one)
+    told = cut.groupBy("source").agg(F.count(F.lit(1)).alias("presented"), F.count_distinct("h").alias("states"))
+    return told.join(set_digest(cut, "source", "h"), "source")
 
 
 @query("audit_stop_reason", "SELECT vec_id, CASE WHEN label * 100 >= 900 THEN 'max_steps' WHEN vec_id % 4 = 3 THEN 'epochs' WHEN vec_id % 7 = 0 THEN 'max_seconds' ELSE 'incomplete' END AS reason FROM embeddings")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from loomline.functions import text as T
 from loomline.operators import requests as Q
+from loomline.operators.menus import with_menu
+from loomline.operators.ranks import ranked
 from loomline.plans.registry import query, table
 
 #: A converted request as flat columns, which both engines can compare.
@@ -130,26 +132,33 @@ def gen_to_request(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", reason.alias("reason"))
 
 
-@query("aug_menu", "WITH pool AS (SELECT DISTINCT p_brand AS o FROM part), q AS (SELECT p_partkey, p_brand AS gold FROM part), c AS (SELECT p_partkey, gold, o, row_number() OVER (PARTITION BY p_partkey ORDER BY sha256(p_partkey || ':' || o)) AS r FROM q JOIN pool ON o <> gold), m AS (SELECT p_partkey, o FROM c WHERE r <= 3 UNION ALL SELECT p_partkey, gold FROM q WHERE p_partkey % 5 <> 0) SELECT p_partkey, string_agg(o, ',' ORDER BY sha256('menu:' || p_partkey || ':' || o)) AS menu FROM m GROUP BY p_partkey")
+def menu_sql(rows: str, key: str, gold: str, seed: str, sizes: str = "[2, 4, 8]", omit: int = 13107, more: str = "") -> str:
+    """with_menu in SQL, on a table expression; the pool is the distinct labels."""
+    hexed = lambda at, n: f"('0x' || substr(h, {at}, {n}))::BIGINT"
+    return f"""pool AS (SELECT label, row_number() OVER (ORDER BY sha256({seed} || ':' || label), label) - 1 AS place, count(*) OVER () AS n, list_distinct(regexp_extract_all(lower(label), '[a-z]+')) AS w {more} FROM (SELECT DISTINCT {gold} AS label {more} FROM {rows})),
+    row_ AS (SELECT *, sha256({seed} || ':' || {key}) AS h FROM {rows}),
+    told AS (SELECT row_.*, {hexed(3, 4)} < {omit} AS out, {sizes}[{hexed(1, 2)} % 3 + 1] - CASE WHEN {hexed(3, 4)} < {omit} THEN 1 ELSE 2 END AS wrong, {hexed(7, 8)} % (SELECT count(DISTINCT label) FROM pool) AS start FROM row_),
+    near AS (SELECT a.label AS label, b.label AS other, row_number() OVER (PARTITION BY a.label ORDER BY len(list_intersect(a.w, b.w)) DESC, b.place) AS r FROM pool a JOIN pool b ON a.label <> b.label AND len(list_intersect(a.w, b.w)) > 0),
+    hard AS (SELECT t.{key}, other FROM told t JOIN near ON near.label = t.{gold} AND r <= t.wrong // 2),
+    nh AS (SELECT {key}, count(*) AS k FROM hard GROUP BY 1),
+    rest AS (SELECT t.{key}, p.label AS other, t.wrong - coalesce(k, 0) AS wanted, row_number() OVER (PARTITION BY t.{key} ORDER BY (p.place - t.start + p.n) % p.n) AS r
+        FROM told t CROSS JOIN pool p LEFT JOIN nh ON nh.{key} = t.{key} WHERE p.label <> t.{gold} AND NOT EXISTS (SELECT 1 FROM hard WHERE hard.{key} = t.{key} AND hard.other = p.label)),
+    every AS (SELECT {key}, other AS o FROM hard UNION ALL SELECT {key}, other FROM rest WHERE r <= wanted UNION ALL SELECT {key}, 'none of these' FROM told UNION ALL SELECT {key}, {gold} FROM told WHERE NOT out),
+    menu AS (SELECT {key}, list(o ORDER BY sha256({seed} || ':' || {key} || ':' || o)) AS m FROM every GROUP BY {key})
+    SELECT t.{key}, array_to_string(m, ',') AS menu, (list_position(m, CASE WHEN out THEN 'none of these' ELSE {gold} END) - 1)::INT AS target FROM told t JOIN menu USING ({key})"""
+
+
+@query("aug_menu", f"WITH {menu_sql('part', 'p_partkey', 'p_name', '17')}")
 def aug_menu(spark, sf):
-    """A menu of three distractors and the gold option (left out one time in five), in hashed order; the pool is a small set of labels."""
-    p = table(spark, sf, "part")
-    pool = p.agg(F.array_sort(F.collect_set("p_brand")).alias("pool"))  # the label set of the task
-    q = p.select("p_partkey", F.col("p_brand").alias("gold")).crossJoin(F.broadcast(pool))
-    key = F.col("p_partkey").cast("string")
-    order = lambda prefix, a: F.transform(F.array_sort(F.transform(a, lambda o: F.struct(F.sha2(F.concat(prefix, F.lit(":"), o), 256).alias("h"), o.alias("o")))), lambda x: x["o"])
-    wrong = F.slice(order(key, F.filter("pool", lambda o: o != F.col("gold"))), 1, 3)
-    menu = F.when(F.col("p_partkey") % 5 == 0, wrong).otherwise(F.concat(wrong, F.array("gold")))
-    return q.select("p_partkey", F.array_join(order(F.concat(F.lit("menu:"), key), menu), ",").alias("menu"))
-
-
-@query("aug_epoch", "SELECT epoch, doc_id FROM (SELECT e.epoch AS epoch, doc_id, row_number() OVER (PARTITION BY e.epoch ORDER BY sha256((17 + 1000003 * e.epoch) || ':' || doc_id), doc_id) AS r FROM documents, range(3) e(epoch)) WHERE r <= 20")
-def aug_epoch(spark, sf):
-    from loomline.operators.corpus import hash_sample
+    return with_menu(table(spark, sf, "part").select("p_partkey", "p_name"), "p_partkey", "p_name", 17).select("p_partkey", F.array_join("menu", ",").alias("menu"), "target")
 
-    out, d = None, table(spark, sf, "documents").select("doc_id")
+
+@query("aug_epoch", " UNION ALL ".join(f"SELECT {e}::BIGINT AS epoch, * FROM (WITH {menu_sql('part', 'p_partkey', 'p_name', str(17 + 1000003 * e))})" for e in range(3)))
+def aug_epoch(spark, sf):
+    """Every row's menu again in each epoch, with the epoch's own seed."""
+    out, p = None, table(spark, sf, "part").select("p_partkey", "p_name")
     for e in range(3):
-        one = hash_sample(d, "doc_id", 20, 17 + 1000003 * e).select(F.lit(e).cast("long").alias("epoch"), "doc_id")
+        one = with_menu(p, "p_partkey", "p_name", 17 + 1000003 * e).select(F.lit(e).cast("long").alias("epoch"), "p_partkey", F.array_join("menu", ",").alias("menu"), "target")
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -189,11 +198,14 @@ def perturb_missing(spark, sf):
     return l.select(F.col("doc_id").alias("pair_id"), F.size("ls").cast("long").alias("lines"), F.sha2(F.array_join(kept, "\n"), 256).alias("h"))
 
 
-@query("perturb_distractors", "WITH o AS (SELECT doc_id, text, lead(text) OVER (PARTITION BY lang ORDER BY doc_id) AS other FROM documents) SELECT doc_id AS pair_id, sha256(text || chr(10) || substr(other, 1, 200)) AS h FROM o WHERE other IS NOT NULL")
+@query("perturb_distractors", "WITH o AS (SELECT doc_id, text, lead(text) OVER (PARTITION BY lang ORDER BY doc_id) AS other FROM documents) SELECT doc_id AS pair_id, sha256(text || chr(10) || other) AS h FROM o WHERE other IS NOT NULL")
 def perturb_distractors(spark, sf):
-    w = Window.partitionBy("lang").orderBy("doc_id")
-    o = table(spark, sf, "documents").select("doc_id", "text", F.lead("text").over(w).alias("other")).where("other IS NOT NULL")
-    return o.select(F.col("doc_id").alias("pair_id"), F.sha2(F.concat("text", F.lit("\n"), F.substring("other", 1, 200)), 256).alias("h"))
+    """Each document with the next one of its language behind it; ids are linked by rank, and texts join last."""
+    d = table(spark, sf, "documents")
+    ids = ranked(d.select("lang", "doc_id"), ["doc_id"], by=["lang"])
+    pairs = ids.join(ids.select("lang", (F.col("rank") - 1).alias("rank"), F.col("doc_id").alias("other_id")), ["lang", "rank"]).select("doc_id", "other_id")
+    own, other = d.select("doc_id", "text"), d.select(F.col("doc_id").alias("other_id"), F.col("text").alias("other"))
+    return pairs.join(own, "doc_id").join(other, "other_id").select(F.col("doc_id").alias("pair_id"), F.sha2(F.concat("text", F.lit("\n"), "other"), 256).alias("h"))
 
 
 @query("join_robust_pairs", "WITH v AS (SELECT doc_id || '#' || (doc_id % 3) AS group_id, n_chars % 4 AS a FROM documents WHERE doc_id % 5 <> 0), c AS (SELECT doc_id, n_chars % 3 AS b FROM documents) SELECT count(*) AS n, count(*) FILTER (WHERE a <> b) AS changed FROM v JOIN c ON split_part(group_id, '#', 1) = doc_id::VARCHAR")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomline.functions import text as T
 from loomline.operators import corpus as C
+from loomline.operators.ranks import ranked, set_digest, set_digest_sql
 from loomline.plans.registry import query, table
 
 H = r"sha256(trim(regexp_replace(lower(text), '\s+', ' ', 'g')))"
@@ -98,12 +99,9 @@ def semi_panel(spark, sf):
     return d.join(d.where("source = 'src1'").select("h"), "h", "left_semi").select("doc_id")
 
 
-@query("sort_hash_rank", "SELECT doc_id, sha256('17:' || doc_id) AS k, row_number() OVER (ORDER BY sha256('17:' || doc_id), doc_id) AS rank FROM documents QUALIFY rank <= 500")
+@query("sort_hash_rank", "SELECT doc_id, sha256('17:' || doc_id) AS k, row_number() OVER (ORDER BY sha256('17:' || doc_id), doc_id) AS rank FROM documents")
 def hash_rank(spark, sf):
-    from pyspark.sql import Window
-
-    first = C.hash_sample(table(spark, sf, "documents").select("doc_id"), "doc_id", 500, 17).withColumn("k", T.seeded_hash(17, F.col("doc_id")))
-    return first.withColumn("rank", F.row_number().over(Window.orderBy("k", "doc_id")).cast("long"))
+    return ranked(table(spark, sf, "documents").select("doc_id", T.seeded_hash(17, F.col("doc_id")).alias("k")), ["k", "doc_id"])
 
 
 @query("sample_limit", "SELECT doc_id FROM documents ORDER BY sha256('17:' || doc_id), doc_id LIMIT 100")
@@ -199,11 +197,15 @@ def round_robin(spark, sf):
     return C.round_robin(table(spark, sf, "documents").select("doc_id", "source"), "source", "doc_id", 17, 100).select("doc_id", "source", F.col("rank").cast("long").alias("rank"))
 
 
-@query("mix_waterfill")
+def level_sql(counts: str, size: int, cap: int) -> str:
+    """The largest level whose fill, source by source, takes no more than size."""
+    return f"(SELECT max(l) FROM range({cap + 1}) r(l) WHERE (SELECT sum(least(n, l)) FROM {counts}) <= {size})"
+
+
+@query("mix_waterfill", f"WITH c AS (SELECT source, count(*) AS n FROM documents GROUP BY source) SELECT source, n, least(n, {level_sql('c', 400, 30)}) AS allocated FROM c")
 def waterfill(spark, sf):
-    counts = table(spark, sf, "documents").groupBy("source").count()
-    given = C.water_fill({r["source"]: r["count"] for r in counts.collect()}, 400, 30)
-    return counts.join(F.broadcast(spark.createDataFrame(sorted(given.items()), "source string, allocated long")), "source").select("source", F.col("count").alias("n"), "allocated")
+    counts = table(spark, sf, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    return counts.withColumn("allocated", F.least("n", F.lit(C.water_level(counts, "n", 400, 30)).cast("long")))
 
 
 @query("mix_cap_share", "SELECT source, count(*) AS n, least(count(*), floor(500 * 0.06)::BIGINT) AS taken, round(least(count(*), floor(500 * 0.06)::BIGINT) / 500.0, 6)::DOUBLE AS share FROM documents GROUP BY source")
@@ -212,11 +214,13 @@ def cap_share(spark, sf):
     return table(spark, sf, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"), taken.alias("taken"), F.round(taken / 500, 6).alias("share"))
 
 
-@query("mix_held_minus_train", f"WITH {D}, s AS (SELECT doc_id, h, CASE {m10('h')} WHEN 8 THEN 'dev' WHEN 9 THEN 'calibration' ELSE 'train' END AS split FROM d), t AS (SELECT DISTINCT substr(h, 1, 3) AS g FROM s WHERE split = 'train' AND doc_id % 2 = 0) SELECT doc_id, split FROM s WHERE split <> 'train' AND substr(h, 1, 3) NOT IN (SELECT g FROM t)")
+@query("mix_held_minus_train", f"WITH {D}, s AS (SELECT doc_id, h, CASE {m10('sha256(doc_id::VARCHAR)')} WHEN 8 THEN 'dev' WHEN 9 THEN 'calibration' ELSE 'train' END AS split FROM d) SELECT doc_id, split FROM s WHERE split <> 'train' AND doc_id NOT IN (SELECT doc_id FROM s WHERE split = 'train') AND h NOT IN (SELECT h FROM s WHERE split = 'train')")
 def held_minus_train(spark, sf):
-    b = T.hex_mod10(F.col("h"))
-    s = docs(spark, sf).select("doc_id", F.substring("h", 1, 3).alias("g"), F.when(b == 8, "dev").when(b == 9, "calibration").otherwise("train").alias("split"))
-    return C.drop_exact_leaks(s.where("split <> 'train'"), "g", s.where("split = 'train' AND doc_id % 2 = 0"), "g").select("doc_id", "split")
+    """Held-out rows (split by id, so that states overlap) that share neither id nor state with any training row."""
+    b = T.hex_mod10(F.sha2(F.col("doc_id").cast("string"), 256))
+    s = docs(spark, sf).select("doc_id", "h", F.when(b == 8, "dev").when(b == 9, "calibration").otherwise("train").alias("split"))
+    train = s.where("split = 'train'")
+    return C.drop_exact_leaks(C.drop_exact_leaks(s.where("split <> 'train'"), "doc_id", train, "doc_id"), "h", train, "h").select("doc_id", "split")
 
 
 @query("mix_repeat_replay", "WITH b AS (SELECT doc_id, k.i AS copy FROM documents, range(3) k(i) WHERE source = 'src1'), r AS (SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY sha256('17:' || doc_id), doc_id) AS rank, lang FROM documents WHERE source <> 'src1'), rr AS (SELECT doc_id FROM r ORDER BY rank, sha256('17:' || lang), lang LIMIT 60) SELECT doc_id, copy FROM b UNION ALL SELECT doc_id, -1 FROM rr")
@@ -233,9 +237,10 @@ def balanced_take(spark, sf):
     return C.balanced_take(l, "toxic", "doc_id", 120).select("doc_id", "toxic")
 
 
-@query("aug_state_swap")
+@query("aug_state_swap", "WITH o AS (SELECT doc_id, sha256(doc_id::VARCHAR) AS o, ('0x' || substr(sha256(doc_id::VARCHAR), 1, 8))::BIGINT % (SELECT greatest(64, (count(*) + 9999) // 10000) FROM documents) AS g FROM documents) SELECT doc_id, coalesce(lead(doc_id) OVER (PARTITION BY g ORDER BY o), first_value(doc_id) OVER (PARTITION BY g ORDER BY o)) AS swapped_doc_id FROM o")
 def state_swap(spark, sf):
-    return C.cyclic_swap(table(spark, sf, "documents").select("doc_id", "source"), F.sha2(F.col("doc_id").cast("string"), 256), ["doc_id"]).select("doc_id", "swapped_doc_id")
+    hashed = table(spark, sf, "documents").select("doc_id", F.sha2(F.col("doc_id").cast("string"), 256).alias("o"))
+    return C.cyclic_swap(hashed, "o", ["doc_id"]).select("doc_id", "swapped_doc_id")
 
 
 @query("audit_sample", "WITH t AS (SELECT doc_id, CASE WHEN quality = 0 AND toxic = 1 THEN 0 WHEN quality = 0 THEN 1 ELSE 2 END AS tier FROM labels) SELECT doc_id, tier FROM t ORDER BY tier, sha256('9:' || doc_id) LIMIT 50")
@@ -320,9 +325,9 @@ def counts_by(spark, sf):
     return table(spark, sf, "documents").groupBy("source").pivot("lang", ["en", "de", "fr", "es"]).count().na.fill(0)
 
 
-@query("agg_distinct_digest", f"WITH {D} SELECT lang, sha256(string_agg(h, chr(10) ORDER BY h)) AS digest FROM (SELECT DISTINCT lang, h FROM d) GROUP BY lang")
+@query("agg_distinct_digest", f"WITH {D} {set_digest_sql('d', 'lang', 'h')}")
 def distinct_digest(spark, sf):
-    return docs(spark, sf).groupBy("lang").agg(F.sha2(F.array_join(F.sort_array(F.collect_set("h")), "\n"), 256).alias("digest"))
+    return set_digest(docs(spark, sf), "lang", "h")
 
 
 @query("agg_group_sizes", f"WITH {D}, c AS (SELECT h, count(*) AS size FROM d GROUP BY h) SELECT size, count(*) AS groups FROM c GROUP BY size")

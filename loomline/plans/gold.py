@@ -16,7 +16,7 @@ def rank_kth(spark, sf):
 
 @query("win_rank_median", "WITH r AS (SELECT p_brand, p_size, row_number() OVER (PARTITION BY p_brand ORDER BY p_size, p_partkey) - 1 AS k, count(*) OVER (PARTITION BY p_brand) AS n FROM part) SELECT p_brand, p_size AS median, n FROM r WHERE k = n // 2")
 def rank_median(spark, sf):
-    from loomline.operators.scoring import order_statistics
+    from loomline.operators.ranks import order_statistics
 
     return order_statistics(table(spark, sf, "part"), "p_brand", "p_size", {"median": F.floor(F.col("n") / 2)}).select("p_brand", "median", "n")
 

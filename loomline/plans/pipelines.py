@@ -10,9 +10,10 @@ from loomline.operators import corpus as C
 from loomline.operators import requests as Q
 from loomline.operators import scorer as SC
 from loomline.operators import scoring as S
-from loomline.plans.corpus import D, H, SH, docs, m10
+from loomline.plans.corpus import D, H, SH, docs, level_sql, m10
 from loomline.plans.facts import predictions
 from loomline.plans.registry import query, table
+from loomline.sources.shared import written
 
 CLEAN = f"""{D}, one AS (SELECT min(doc_id) AS doc_id, h FROM d GROUP BY h), b AS (SELECT DISTINCT {H} AS h FROM benchmark),
     bs AS (SELECT DISTINCT unnest({SH}) AS s FROM (SELECT regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM benchmark) WHERE len(w) >= 12),
@@ -26,7 +27,8 @@ def clean_docs(spark, sf):
     d = C.dedup_first(docs(spark, sf), "h", "doc_id")
     bench = table(spark, sf, "benchmark")
     d = C.drop_exact_leaks(d, "h", bench.select(T.state_hash(F.col("text")).alias("h")), "h")
-    return d.join(C.shingle_leaks(table(spark, sf, "documents"), "doc_id", "text", bench, "text", 12).select("doc_id"), "doc_id", "left_anti")
+    d = written(d, "unique")
+    return d.join(C.shingle_leaks(d, "doc_id", "text", bench, "text", 12).select("doc_id"), "doc_id", "left_anti")
 
 
 @query("pipe_corpus_report", f"WITH {CLEAN}, s AS (SELECT source, CASE {m10('x')} WHEN 8 THEN 'dev' WHEN 9 THEN 'calibration' ELSE 'train' END AS split FROM (SELECT source, sha256('17:' || h) AS x FROM clean)) SELECT source, split, count(*) AS n FROM s GROUP BY 1, 2")
@@ -41,13 +43,12 @@ def pipe_mix(spark, sf):
     return C.take_per(short, "source", "doc_id", 17, 12).select("doc_id", "source")
 
 
-@query("pipe_production")
+@query("pipe_production", f"WITH {CLEAN}, s AS (SELECT doc_id, source FROM clean WHERE strlen(text) <= 6144), c AS (SELECT source, count(*) AS n FROM s GROUP BY source), k AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY sha256('17:' || doc_id), doc_id) AS r FROM s) SELECT doc_id, source FROM k WHERE r <= {level_sql('c', 300, 25)}")
 def pipe_production(spark, sf):
     """Leak-free, deduplicated, length-filtered documents, allocated over sources by water-filling."""
-    short = clean_docs(spark, sf).where(F.octet_length("text") <= 6144).select("doc_id", "source")
-    counts = {r["source"]: r["count"] for r in short.groupBy("source").count().collect()}  # one row for each source
-    given = spark.createDataFrame(sorted(C.water_fill(counts, 300, 25).items()), "source string, take long")
-    return C.take_per(short.join(F.broadcast(given), "source"), "source", "doc_id", 17, F.col("take")).select("doc_id", "source")
+    short = written(clean_docs(spark, sf).where(F.octet_length("text") <= 6144).select("doc_id", "source"), "short")
+    level = C.water_level(short.groupBy("source").agg(F.count(F.lit(1)).alias("n")), "n", 300, 25)
+    return C.take_per(short, "source", "doc_id", 17, level).select("doc_id", "source")
 
 
 @query("pipe_banking", f"WITH {D}, o AS (SELECT doc_id, h, lang, row_number() OVER (PARTITION BY h ORDER BY doc_id DESC) AS k FROM d), u AS (SELECT * FROM o WHERE k = 1 AND h NOT IN (SELECT h FROM d GROUP BY h HAVING count(DISTINCT source) > 1)), s AS (SELECT lang, CASE {m10('x')} WHEN 8 THEN 'dev' WHEN 9 THEN 'calibration' ELSE 'train' END AS split FROM (SELECT lang, sha256('17:' || h) AS x FROM u)) SELECT split, lang, count(*) AS n FROM s GROUP BY 1, 2")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomline.functions import dists as D
 from loomline.operators import scoring as S
+from loomline.operators.ranks import ranked
 from loomline.plans.facts import pred_sql, predictions
 from loomline.plans.registry import query, table
 
@@ -57,9 +58,10 @@ def selective_risk(spark, sf):
     return S.selective_risk(predictions(spark, sf), "id")
 
 
-@query("sort_confidence", f"{P} SELECT id, round(confidence, 6) AS confidence FROM pred ORDER BY pred.confidence DESC, id LIMIT 100")
+@query("sort_confidence", f"{P} SELECT id, round(confidence, 6) AS confidence, row_number() OVER (ORDER BY pred.confidence DESC, id) AS rank FROM pred")
 def sort_confidence(spark, sf):
-    return predictions(spark, sf).orderBy(F.desc("confidence"), "id").limit(100).select("id", r6(F.col("confidence")).alias("confidence"))
+    told = predictions(spark, sf).select("id", "confidence", (-F.col("confidence")).alias("down"))
+    return ranked(told, ["down", "id"]).select("id", r6(F.col("confidence")).alias("confidence"), "rank")
 
 
 FLOORS = (1e-12, 1e-9, 1e-6, 1e-4, 1e-2)

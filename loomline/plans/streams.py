@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomline.operators.relational import fold_by
+from loomline.operators.ranks import ranked
 from loomline.plans.registry import query, table
 from loomline.streaming import events as E
 
@@ -76,18 +77,20 @@ def prefix_cache(spark, sf):
     """LRU of 40 length units for each scope (event type), keyed by user: hits and what is resident after each event."""
     from collections import OrderedDict
 
-    def step(cache, row):
+    def step(state, row):
+        cache, held = state
         hit = row["user_id"] in cache
         if hit:
             cache.move_to_end(row["user_id"])
         else:
-            cache[row["user_id"]] = 1 + row["user_id"] % 5
-            while sum(cache.values()) > 40:
-                cache.popitem(last=False)
-        return cache, (row["event_id"], row["event_type"], hit, sum(cache.values()))
+            cache[row["user_id"]] = own = 1 + row["user_id"] % 5
+            held += own
+            while held > 40:
+                held -= cache.popitem(last=False)[1]
+        return (cache, held), (row["event_id"], row["event_type"], hit, held)
 
     e = table(spark, sf, "events").select("event_type", "ts", "event_id", "user_id")
-    return fold_by(e, "event_type", ["ts", "event_id"], step, "event_id long, event_type string, hit boolean, resident long", OrderedDict)
+    return fold_by(e, "event_type", ["ts", "event_id"], step, "event_id long, event_type string, hit boolean, resident long", lambda: (OrderedDict(), 0))
 
 
 @query("st_microbatch", "WITH w AS (SELECT event_type, time_bucket(INTERVAL 1 MINUTE, ts) AS start, count(*) AS n FROM events GROUP BY 1, 2) SELECT event_type, sum(ceil(n / 8))::BIGINT AS batches, max(least(n, 8))::BIGINT AS largest FROM w GROUP BY event_type")
@@ -112,9 +115,7 @@ def backpressure(spark, sf):
 
 @query("st_roster", "SELECT event_type, event_id, dense_rank() OVER (PARTITION BY event_type ORDER BY f, user_id) AS name FROM (SELECT *, min(event_id) OVER (PARTITION BY event_type, user_id) AS f FROM events)")
 def roster(spark, sf):
-    from pyspark.sql import Window
-
     e = table(spark, sf, "events").select("event_type", "event_id", "user_id")
     first = e.groupBy("event_type", "user_id").agg(F.min("event_id").alias("f"))
-    names = first.withColumn("name", F.row_number().over(Window.partitionBy("event_type").orderBy("f", "user_id")).cast("long"))
+    names = ranked(first, ["f", "user_id"], by=["event_type"], name="name").drop("f")
     return e.join(names, ["event_type", "user_id"]).select("event_type", "event_id", "name")

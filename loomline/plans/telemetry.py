@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomline.functions import dists as D
 from loomline.operators import scoring as S
+from loomline.operators.ranks import order_statistics
 from loomline.plans.facts import pred_sql, predictions
 from loomline.plans.registry import query, table
 
@@ -23,7 +24,7 @@ RANK = "WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY eve
 
 
 def _ranked(spark, sf, rank):
-    return S.order_statistics(table(spark, sf, "events").select("event_type", "value"), "event_type", "value", {"p95": rank}).select("event_type", r6(F.col("p95")).alias("p95"))
+    return order_statistics(table(spark, sf, "events").select("event_type", "value"), "event_type", "value", {"p95": rank}).select("event_type", r6(F.col("p95")).alias("p95"))
 
 
 @query("agg_percentile_trunc", RANK + "SELECT event_type, round(max(value), 6) AS p95 FROM r WHERE k = least(n - 1, floor(0.95 * n)) GROUP BY event_type")
