@@ -1,9 +1,10 @@
 """Operator 8, HTML extraction with wrappers: union-free regular expressions inferred for each host.
 
-A page is a tree of elements and text slots. Two trees are aligned child list by child list: equal tags merge,
-neighbouring equals fold into a repeated group, what only one side has becomes optional, and text becomes a slot
-with statistics. Merging is done per batch, then per host in two salted steps, so a host with a third of all pages
-never meets in one task. The host's wrapper tells where the article is; each page is then read through it.
+A page becomes a stream of block tags and text blocks. Two streams of a host are aligned level by level: equal tags
+merge; where the sequences differ, neighbouring equals fold into repeated groups, and what only one side still has
+becomes optional; equal text stays text of the template, differing text becomes a slot. Merging is done per batch,
+then per host in two salted steps, so a host with a third of all pages never meets in one task. The host's wrapper
+tells where the article is, by its slots, and which text is the template's; each page is then read through it.
 """
 
 from __future__ import annotations
@@ -12,13 +13,13 @@ import html as html_lib
 import json
 import re
 from collections.abc import Generator, Iterator
-from functools import lru_cache
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import Written, broadcast_if_small
+from loomline.llm.common import Written, broadcast_if_small, slices
 
 #: Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -32,39 +33,60 @@ SCOPE = frozenset(("ul", "ol", "dl", "table", "article", "section", "div", "main
 #: Elements that never hold main text.
 DROP = frozenset("nav footer aside form script style noscript template iframe textarea select button option object svg math canvas audio video head title menu dialog input label".split())
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
-#: Words of class and id attributes that mark what is not the article.
+#: Words of class and id names that mark what is not the article, and words that may stand beside them in a name.
 DROP_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promotion banner banners nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars "
+    "ad ads adsbygoogle advert adverts advertisement advertising sponsor sponsored sponsors promo promotion banner banners nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars "
     "footer comment comments commentlist disqus reply replies notice notices cookie cookies consent gdpr newsletter subscribe subscription share sharing social related recommended popup modal overlay "
-    "widget widgets login signup register search toolbar pagination pager masthead topbar paywall skip".split()
+    "widget widgets login signup search toolbar pagination pager masthead topbar paywall skip".split()
+)
+BESIDE_WORDS = frozenset(
+    "site page top bottom box container wrapper wrap block list item items link links bar area slot unit header left right inner outer sticky global main primary secondary section panel module form button "
+    "buttons text message content column group title body author meta posts articles stories user users reader readers media icons icon".split()
 )
 #: Elements and words that mark the article.
 KEEP_WORDS = frozenset("article post entry story".split())
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|([^<]+|<)""", re.S)
+#: A tag ends at the first > outside well-formed quotes; quotes that nothing opens are signs like others.
+_TOKEN = re.compile(
+    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>"']++|"[^"]*"(?=[\s/>])|'[^']*'(?=[\s/>])|(?<!=)["'])*+)>|([^<]+|<(?![a-zA-Z/])|</(?![a-zA-Z]))""", re.S
+)
+#: A tag with quotes that do not close ends at the next angle bracket.
+_BROKEN = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*)([^<>]*)>?")
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
-_MARKS = re.compile(r"[^a-z0-9]+")
+_MARKS = re.compile(r"[^a-z]+")
 _SPACE = re.compile(r"\s+")
 
 
+def _drops(name: str) -> bool:
+    """Whether a class or id name marks what is not the article: of its words one does, and none tells of something else."""
+    words = [w for w in _MARKS.split(name) if len(w) > 1]
+    return any(w in DROP_WORDS for w in words) and all(w in DROP_WORDS or w in BESIDE_WORDS for w in words)
+
+
 def signature(tag: str, attributes: str) -> str:
-    """tag and the words of its class, id and role that steer extraction: a wrapper is told apart by nothing else."""
+    """tag and the marks of its attributes that steer extraction: a wrapper is told apart by nothing else."""
     if not attributes or "=" not in attributes:
         return tag
-    words = set()
+    marks = set()
     for name, value in _ATTRIBUTE.findall(attributes):
         name = name.lower()
-        if name in ("class", "id", "role", "itemprop"):
+        if name in ("class", "id", "role", "itemprop", "hidden", "aria-hidden"):
             value = value.strip("\"'").lower()
             if name == "role":
-                words.update(f"role:{w}" for w in value.split() if w in DROP_ROLES or w == "main")
+                marks.update("drop" if w in DROP_ROLES else "keep" for w in value.split() if w in DROP_ROLES or w in ("main", "article"))
             elif name == "itemprop":
-                words.update(("prop:body",) if "articlebody" in value else ())
-            else:
-                words.update(w for w in _MARKS.split(value) if w in DROP_WORDS or w in KEEP_WORDS)
-        elif name in ("hidden", "aria-hidden") and value.strip("\"'").lower() == "true":
-            words.add("hidden")
-    return " ".join([tag, *sorted(words)])
+                marks.update(("keep",) if "articlebody" in value else ())
+            elif name in ("class", "id"):
+                for w in value.split():
+                    if _drops(w):
+                        marks.add("drop")
+                    elif not KEEP_WORDS.isdisjoint(_MARKS.split(w)):
+                        marks.add("keep")
+            elif value == "true" or value == "hidden":
+                marks.add("drop")
+    if tag in ("html", "body"):
+        return tag
+    return f"{tag} {'drop' if 'drop' in marks else 'keep'}" if marks else tag
 
 
 def events(page: str) -> Iterator[tuple[str, str]]:
@@ -83,17 +105,16 @@ def events(page: str) -> Iterator[tuple[str, str]]:
 
     at, n = 0, len(page)
     while at < n:
-        m = _TOKEN.match(page, at)
-        if m is None:  # an unclosed tag at the end of the page
-            break
+        m = _TOKEN.match(page, at) or _BROKEN.match(page, at)
         at = m.end()
-        closing, tag, attributes, text = m.groups()
+        closing, tag, attributes = m.groups()[:3]
+        text = m[4] if m.re is _TOKEN else None
         if text is not None:
             yield "text", text
             continue
         if tag is None:
             continue
-        tag = tag.lower()
+        tag = tag.lower().replace("|", "")
         if closing:
             if places.get(tag):
                 yield from close(places[tag][-1])
@@ -123,40 +144,94 @@ def events(page: str) -> Iterator[tuple[str, str]]:
     yield from close(0)
 
 
-# A wrapper node is [signature, optional, repeated, slot characters, slot characters inside links, kids].
-
-
 def dropped(sig: str, inside_article: bool) -> bool:
-    tag, *words = sig.split(" ")
-    if tag in DROP or "hidden" in words or (tag == "header" and not inside_article):
-        return True
-    return any(w in DROP_WORDS or w.startswith("role:") and w != "role:main" for w in words)
+    tag, _, mark = sig.partition(" ")
+    return tag in DROP or mark == "drop" or (tag == "header" and not inside_article)
 
 
 def marks_article(sig: str) -> bool:
-    tag, *words = sig.split(" ")
-    return tag in ("article", "main") or any(w in KEEP_WORDS or w in ("role:main", "prop:body") for w in words)
+    tag, _, mark = sig.partition(" ")
+    return tag in ("article", "main") or mark == "keep"
 
 
-def page_tree(page: str) -> list:
-    """The page as a wrapper of itself, with neighbouring equal children folded."""
-    root = ["", False, False, 0, 0, []]
-    stack, links = [root], 0
+def blocks(page: str) -> Iterator[tuple[str, str, int]]:
+    """The page as ("open", signature), ("close", "") and ("text", block, characters inside links).
+
+    Blocks are decoded and their white space is one space; elements that are no blocks belong to the text around them. What
+    no article holds (by tag or mark) is left out with all inside it.
+    """
+    kept: list[str] = []  # text of the block at hand
+    linked = links = 0
+    stack: list[int] = []  # of each open element: 0 part of a block, 1 a block, 2 left out, 3 a link
+    out = 0
+
+    def end() -> Iterator[tuple[str, str, int]]:
+        nonlocal linked
+        if kept:
+            text = _SPACE.sub(" ", html_lib.unescape("".join(kept))).strip()
+            kept.clear()
+            if text:
+                yield "text", text, min(linked, len(text))
+        linked = 0
+
     for kind, value in events(page):
         if kind == "open":
-            node = [value, False, False, 0, 0, []]
-            stack[-1][5].append(node)
-            stack.append(node)
-            links += value.split(" ")[0] == "a"
+            tag, _, mark = value.partition(" ")
+            if out or dropped(value, True):
+                if not out and tag in BLOCK:
+                    yield from end()
+                stack.append(2)
+                out += 1
+            elif tag in BLOCK or mark:
+                yield from end()
+                yield "open", value, 0
+                stack.append(1)
+            else:
+                if tag in ("td", "th"):
+                    kept.append(" ")
+                stack.append(3 if tag == "a" else 0)
+                links += tag == "a"
         elif kind == "close":
-            node = stack.pop()
-            node[5] = fold(node[5])
-            links -= node[0].split(" ")[0] == "a"
+            was = stack.pop()
+            if was == 2:
+                out -= 1
+            elif was == 1:
+                yield from end()
+                yield "close", "", 0
+            elif was == 3:
+                links -= 1
+        elif out:
+            continue
         elif kind == "text":
-            chars = len(value.strip())
-            stack[-1][3] += chars
-            stack[-1][4] += chars if links else 0
-    root[5] = fold(root[5])
+            kept.append(value)
+            linked += len(value.strip()) if links else 0
+        elif kind == "raw":  # shown as it stands
+            kept.append(value.replace("&", "&amp;"))
+        elif value in BLOCK:
+            yield from end()
+        elif value == "br":
+            kept.append(" ")
+    yield from end()
+
+
+# A wrapper node is [signature, optional, repeated, kids, characters outside links, characters inside links, seen]: seen
+# holds the three smallest of the distinct hashes of its texts (of the root: of its pages), so one hash means equal text.
+TEXT, MOST_SEEN = "#", 3
+
+
+def page_tree(page: str) -> list:
+    """The page as a wrapper of itself."""
+    root = ["", False, False, [], 0, 0, [xxhash.xxh64_intdigest(page)]]
+    stack = [root]
+    for kind, value, linked in blocks(page):
+        if kind == "open":
+            node = [value, False, False, [], 0, 0, []]
+            stack[-1][3].append(node)
+            stack.append(node)
+        elif kind == "close":
+            stack.pop()
+        else:
+            stack[-1][3].append([TEXT, False, False, [], len(value) - linked, linked, [xxhash.xxh64_intdigest(value)]])
     return root
 
 
@@ -173,17 +248,13 @@ def _run(task: Generator):
     return value
 
 
-def fold(kids: list[list]) -> list[list]:
-    """Repeated groups: from the first child with a signature on, all children up to its next occurrence repeat."""
-    return _run(_folding(kids)) if len(kids) > 1 else kids
-
-
 def merge(a: list, b: list) -> list:
-    """The smallest wrapper that matches what either matches: children aligned by their longest common sequence."""
+    """The smallest wrapper that matches what either matches."""
     return _run(_merging(a, b))
 
 
 def _folding(kids: list[list]) -> Generator:
+    """Repeated groups: from the first child with a signature on, all children up to its next occurrence repeat."""
     out: list[list] = []
     place: dict[str, int] = {}
     for kid in kids:
@@ -192,22 +263,28 @@ def _folding(kids: list[list]) -> Generator:
             place[kid[0]] = len(out)
             out.append(kid)
         else:
-            out[i] = (yield _merging(out[i], kid)) if out[i][5] or kid[5] else _joined(out[i], kid, [])
-            for group in out[i:]:
-                group[2] = True
+            out[i] = (yield _merging(out[i], kid)) if out[i][3] or kid[3] else _joined(out[i], kid, [])
+            out[i][2] = True
+            for j in range(i + 1, len(out)):
+                if not out[j][2]:
+                    out[j] = [*out[j][:2], True, *out[j][3:]]
     return out
 
 
 def _joined(a: list, b: list, kids: list[list]) -> list:
-    return [a[0], a[1] or b[1], a[2] or b[2], a[3] + b[3], a[4] + b[4], kids]
+    seen = a[6] if a[6] == b[6] else sorted({*a[6], *b[6]})[:MOST_SEEN]
+    return [a[0], a[1] or b[1], a[2] or b[2], kids, a[4] + b[4], a[5] + b[5], seen]
 
 
 def _merging(a: list, b: list) -> Generator:
-    x, y = a[5], b[5]
+    """Children of equal sequences merge one by one; else both sides fold and align by their longest common sequence."""
+    x, y = a[3], b[3]
     kids: list[list] = []
+    if [k[0] for k in x] != [k[0] for k in y]:
+        x, y = (yield _folding(x)), (yield _folding(y))
     if [k[0] for k in x] == [k[0] for k in y]:
         for p, q in zip(x, y, strict=True):
-            kids.append((yield _merging(p, q)) if p[5] or q[5] else _joined(p, q, []))
+            kids.append((yield _merging(p, q)) if p[3] or q[3] else _joined(p, q, []))
     else:
         best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
         for i in range(len(x) - 1, -1, -1):
@@ -216,7 +293,7 @@ def _merging(a: list, b: list) -> Generator:
         i, j = 0, 0
         while i < len(x) or j < len(y):
             if i < len(x) and j < len(y) and x[i][0] == y[j][0]:
-                kids.append((yield _merging(x[i], y[j])) if x[i][5] or y[j][5] else _joined(x[i], y[j], []))
+                kids.append((yield _merging(x[i], y[j])) if x[i][3] or y[j][3] else _joined(x[i], y[j], []))
                 i, j = i + 1, j + 1
             elif j == len(y) or (i < len(x) and best[i + 1][j] >= best[i][j + 1]):
                 kids.append([x[i][0], True, *x[i][2:]])
@@ -233,20 +310,20 @@ def _flat(node: list) -> str:
     out, todo = [], [node]
     while todo:
         now = todo.pop()
-        out.append([*now[:5], len(now[5])])
-        todo.extend(reversed(now[5]))
-    return json.dumps(out)
+        out.append([*now[:3], len(now[3]), *now[4:]])
+        todo.extend(reversed(now[3]))
+    return json.dumps(out, separators=(",", ":"))
 
 
 def _tree(flat: str) -> list:
     done: list[list] = []
     for row in reversed(json.loads(flat)):
-        done.append([*row[:5], [done.pop() for _ in range(row[5])]])
+        done.append([*row[:3], [done.pop() for _ in range(row[3])], *row[4:]])
     return done[0]
 
 
 def expression(node: list) -> str:
-    """The wrapper as a union-free regular expression of tags, for people."""
+    """The wrapper as a union-free regular expression of tags, for people: # is a slot, = text of the template."""
     out: list[str] = []
     todo: list[list | str] = [node]
     while todo:
@@ -254,127 +331,161 @@ def expression(node: list) -> str:
         if isinstance(now, str):
             out.append(now)
             continue
-        if now[0]:
+        many = "*" if now[1] and now[2] else "+" if now[2] else "?" if now[1] else ""
+        if now[0] == TEXT:
+            out.append(("=" if len(now[6]) == 1 else "#") + many)
+        elif now[0]:
             out.append(f"(<{now[0]}>")
-            todo.append("</>)" + ("*" if now[1] and now[2] else "+" if now[2] else "?" if now[1] else ""))
-        if now[3]:
-            out.append("#")
-        todo.extend(reversed(now[5]))
+            todo.append("</>)" + many)
+        todo.extend(reversed(now[3]))
     return "".join(out)
 
 
-def article_paths(wrapper: list) -> list[str]:
-    """Paths (signatures joined by /) of the elements that hold the article.
+def _articles(wrapper: list, told: bool) -> tuple[list[list], bool]:
+    """The nodes that hold the article, and whether marks tell so. ``told``: text that never differs weighs nothing.
 
-    Marked elements come first; without any, the path goes down while one child holds most of the text outside links.
+    Marked elements with weight come first; without any, the way goes down while one child holds most of the weight.
     """
     order, todo = [], [wrapper]
     while todo:
         node = todo.pop()
         order.append(node)
-        todo.extend(node[5])
-    weight: dict[int, int] = {}  # text outside links, without dropped elements; children come first
+        todo.extend(node[3])
+    weight: dict[int, int] = {}  # text outside links; children come first
     for node in reversed(order):
-        weight[id(node)] = node[3] - node[4] + sum(weight[id(k)] for k in node[5] if not dropped(k[0], True))
-
-    marked: set[str] = set()
-    places: list[tuple[list, tuple | None]] = [(wrapper, None)]  # a node and its path: signature and the path above
-    while places:
-        node, path = places.pop()
-        for kid in node[5]:
-            own = (kid[0], path)
-            if dropped(kid[0], False):
-                continue
-            if marks_article(kid[0]) and weight[id(kid)] > 0:
-                parts = []
-                while own is not None:
-                    parts.append(own[0])
-                    own = own[1]
-                marked.add("/" + "/".join(reversed(parts)))
-            else:
-                places.append((kid, own))
-    if marked:
-        return sorted(marked)
-    node, parts = wrapper, [""]
-    while True:
-        total = weight[id(node)]
-        kids: dict[str, list[list]] = {}
-        for kid in node[5]:
+        own = 0 if told and len(node[6]) == 1 else node[4]
+        weight[id(node)] = own + sum(weight[id(k)] for k in node[3])
+    marked, todo = [], [wrapper]
+    while todo:
+        for kid in todo.pop()[3]:
             if not dropped(kid[0], False):
-                kids.setdefault(kid[0], []).append(kid)
-        best = max(kids.values(), key=lambda k: sum(weight[id(x)] for x in k), default=None)
-        if best is None or len(best) > 1 or best[0][0].split(" ")[0] not in BLOCK or best[0][0].split(" ")[0] in ("p", "ul", "ol", "table") or best[0][2] or weight[id(best[0])] < 0.6 * total or total == 0:
-            return ["/".join(parts)]
-        node = best[0]
-        parts.append(node[0])
-
-
-@lru_cache(maxsize=1000)
-def _steps(paths: frozenset[str]) -> dict:
-    """The paths as nested steps: signature -> steps below; the end of a path holds ""."""
-    root: dict = {}
-    for path in paths:
-        at = root
-        for sig in path.split("/")[1:]:
-            at = at.setdefault(sig, {})
-        at[""] = True
-    return root
+                if marks_article(kid[0]) and weight[id(kid)] > 0:
+                    marked.append(kid)
+                else:
+                    todo.append(kid)
+    if marked:
+        return marked, True
+    node = wrapper
+    while weight[id(node)]:
+        kids = [k for k in node[3] if not dropped(k[0], False)]
+        best = max(kids, key=lambda k: weight[id(k)], default=None)
+        alike = any(k is not best and k[0] == best[0] and weight[id(k)] for k in kids)
+        if best is None or alike or best[2] or best[0] == TEXT or best[0].split(" ")[0] in ("p", "ul", "ol", "table") or weight[id(best)] < 0.6 * weight[id(node)]:
+            break
+        node = best
+    return [node], False
+
+
+def rules(wrapper: list) -> str:
+    """How to read a page: the nodes on the way to the article and inside it that matter, as JSON in the order of _flat.
+
+    Each is [key, holds the article, left out, hashes of template text, number of children]; the key is the signature, with
+    its number among equal ones where the host's pages have them all alike. Template text is one that no page of the host
+    lacks and none differs in. It counts only where at least three pages differ and some slot of the article has three
+    texts: pages that are copies of each other tell nothing about their template.
+    """
+    told = len(wrapper[6]) == MOST_SEEN
+    found, marked = _articles(wrapper, told)
+    varied, todo = False, list(found)
+    while todo and not varied:
+        node = todo.pop()
+        varied = node[0] == TEXT and len(node[6]) == MOST_SEEN
+        todo.extend(node[3])
+    if told and not (varied and marked):
+        again, by_marks = _articles(wrapper, False)
+        if by_marks or not varied:  # a marked article that never differs goes before unmarked text that does
+            found, marked, varied = again, by_marks, False
+    places = {id(n) for n in found}
+    # Children before parents: what is needed of each node.
+    needed: dict[int, list] = {}
+    order: list[tuple[list, bool, bool, bool]] = []
+    walk = [(wrapper, False, True, False)]
+    while walk:
+        node, inside, always, top = walk.pop()
+        own = id(node) in places
+        order.append((node, inside or own, always, top))
+        walk.extend((k, inside or own, always and not k[1], own) for k in node[3])
+    for node, inside, always, top in reversed(order):
+        own = id(node) in places
+        here = always and varied and inside
+        texts = sorted({k[6][0] for k in node[3] if k[0] == TEXT and here and not k[1] and len(k[6]) == 1})
+        plain, linked, todo = 0, 0, [node] if top and not marked and node[0].split(" ")[0] in ("div", "ul", "ol", "section", "table") else []
+        while todo:  # a list of links beside an unmarked article
+            one = todo.pop()
+            plain, linked = plain + one[4], linked + one[5]
+            todo.extend(one[3])
+        out = linked > 4 * plain
+        times: dict[str, int] = {}
+        for k in node[3]:
+            times[k[0]] = times.get(k[0], 0) + 1
+        kids, number = [], {}
+        for k in node[3]:
+            number[k[0]] = number.get(k[0], 0) + 1
+            if id(k) in needed:
+                kids.append([k[0] if times[k[0]] == 1 else f"{k[0]}|{number[k[0]]}", *needed[id(k)][1:]])
+        if own or texts or out or kids or node is wrapper:
+            needed[id(node)] = [node[0], own, out, texts, kids]
+    flat, todo = [], [needed[id(wrapper)]]
+    while todo:
+        now = todo.pop()
+        flat.append([now[0], int(now[1]), int(now[2]), now[3], len(now[4])])
+        todo.extend(reversed(now[4]))
+    return json.dumps(flat, separators=(",", ":"))
 
 
-_NO_STEPS: dict = {}
+class Rule:
+    """One node of the rules; kids by key, and the signatures whose keys are numbered."""
 
+    __slots__ = ("article", "kids", "numbered", "out", "texts")
 
-def read(page: str, paths: frozenset[str]) -> str:
-    """The blocks of a page under the article paths, one a line, without dropped elements."""
-    blocks: list[str] = []
-    now: list[str] = []
-    steps = _steps(paths)
-    stack: list[tuple[dict, bool, bool]] = [(steps, "" in steps, False)]  # steps below, in the article, dropped
+    def __init__(self, article: bool, out: bool, texts: frozenset[int], kids: dict[str, Rule]):
+        self.article, self.out, self.texts, self.kids = article, out, texts, kids
+        self.numbered = frozenset(k.split("|")[0] for k in kids if "|" in k)
 
-    def end() -> None:
-        if now:
-            text = _SPACE.sub(" ", html_lib.unescape("".join(now))).strip()
-            if text:
-                blocks.append(text)
-            now.clear()
 
-    for kind, value in events(page):
-        steps, inside, out = stack[-1]
-        if kind == "text":
-            if inside and not out:
-                now.append(value)
-        elif kind == "open":
-            tag = value.split(" ", 1)[0]
-            if tag in BLOCK:
-                end()
-            elif inside and not out and tag in ("td", "th"):
-                now.append(" ")
-            below = steps.get(value, _NO_STEPS)
-            own = "" in below
-            stack.append((below, inside or own, out or (not own and dropped(value, inside))))
+def load_rules(flat: str) -> Rule:
+    done: list[tuple[str, Rule]] = []
+    for key, article, out, texts, n in reversed(json.loads(flat)):
+        done.append((key, Rule(bool(article), bool(out), frozenset(texts), dict(done.pop() for _ in range(n)))))
+    return done[0][1]
+
+
+def read(page: str, rule: Rule) -> str:
+    """The blocks of a page in the article, one a line, without what the rules leave out and without template text."""
+    lines: list[str] = []
+    # The rule here, in the article, left out, and how many children of a numbered signature there were.
+    stack: list[tuple[Rule | None, bool, bool, dict[str, int]]] = [(rule, rule.article, False, {})]
+    for kind, value, _ in blocks(page):
+        here, inside, out, count = stack[-1]
+        if kind == "open":
+            below = None
+            if here is not None and value in here.numbered:
+                count[value] = count.get(value, 0) + 1
+                below = here.kids.get(f"{value}|{count[value]}")
+            elif here is not None:
+                below = here.kids.get(value)
+            own = below is not None and below.article
+            stack.append((below, inside or own, out or (below is not None and below.out) or (not own and dropped(value, inside)), {}))
         elif kind == "close":
             stack.pop()
-            if value in BLOCK:
-                end()
-        elif kind == "void" and inside and not out:
-            if value in BLOCK:
-                end()
-            elif value == "br":
-                now.append(" ")
-    end()
-    return "\n".join(blocks)
-
-
-def extract(page: str, paths: frozenset[str]) -> str:
-    """Read a page through its host's wrapper; a page on which no article path occurs is its own wrapper."""
-    text = read(page, paths)
+        elif inside and not out and not (here is not None and here.texts and xxhash.xxh64_intdigest(value) in here.texts):
+            lines.append(value)
+    return "\n".join(lines)
+
+
+def extract(page: str, rule: Rule | None) -> str:
+    """Read a page through its host's rules; a page in which they find no article is its own wrapper."""
+    text = read(page, rule) if rule is not None else ""
     if not text and page.strip():
-        own = frozenset(article_paths(page_tree(page)))
-        if own != paths:
-            text = read(page, own)
+        text = read(page, load_rules(rules(page_tree(page))))
     return text
 
 
+def extract_alone(page: str) -> str:
+    """Read a page that has no host: it is its own wrapper."""
+    return extract(page, None)
+
+
 def _infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(host, html) -> one partial wrapper for each host of a batch."""
     from pyspark import TaskContext
@@ -393,10 +504,10 @@ def _infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _merge_all(table: pa.Table) -> list:
     # Stable order: the result does not depend on which task came first.
-    trees = [_tree(w) for w in sorted(table.column("wrapper").to_pylist())]
-    out = trees[0]
-    for tree in trees[1:]:
-        out = merge(out, tree)
+    flat = sorted(table.column("wrapper").to_pylist())
+    out = _tree(flat[0])
+    for one in flat[1:]:
+        out = merge(out, _tree(one))
     return out
 
 
@@ -406,7 +517,7 @@ def _merge_salted(table: pa.Table) -> pa.Table:
 
 def _merge_host(table: pa.Table) -> pa.Table:
     wrapper = _merge_all(table)
-    return pa.table({"host": [table.column("host")[0].as_py()], "expression": [expression(wrapper)], "paths": ["\n".join(article_paths(wrapper))]})
+    return pa.table({"host": [table.column("host")[0].as_py()], "expression": [expression(wrapper)], "rules": [rules(wrapper)]})
 
 
 def host_of(url):
@@ -414,24 +525,23 @@ def host_of(url):
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, expression, paths) of all pages' hosts; a null url has the host ""."""
+    """(host, expression, rules) of all pages' hosts; a null url has the host ""."""
     partial = pages.select(host_of(F.col("url")).alias("host"), F.col("html").cast("string").alias("html")).mapInArrow(_infer, "host string, salt int, wrapper string")
     salted = partial.groupBy("host", "salt").applyInArrow(_merge_salted, "host string, wrapper string")
-    return salted.groupBy("host").applyInArrow(_merge_host, "host string, expression string, paths string")
+    return salted.groupBy("host").applyInArrow(_merge_host, "host string, expression string, rules string")
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sets: dict[str | None, frozenset[str]] = {}
+    known: dict[str | None, Rule | None] = {None: None}
     for batch in batches:
-        for low in range(0, batch.num_rows, 512):
-            rows = batch.slice(low, 512)
+        for rows in slices(batch, 2):
             texts = []
-            for page, paths in zip(rows.column(2).to_pylist(), rows.column(3).to_pylist(), strict=True):
-                if paths not in sets:
-                    if len(sets) > 10_000:
-                        sets.clear()
-                    sets[paths] = frozenset(paths.split("\n")) if paths is not None else frozenset()
-                texts.append(extract(page or "", sets[paths]))
+            for page, flat in zip(rows.column(2).to_pylist(), rows.column(3).to_pylist(), strict=True):
+                if flat not in known:
+                    if len(known) > 10_000:
+                        known = {None: None}
+                    known[flat] = load_rules(flat)
+                texts.append(extract(page or "", known[flat]))
             yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
@@ -439,12 +549,13 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     """One row per row of ``pages`` (page_id, url, html, more): page_id, url, text, n_chars.
 
     text holds the article's blocks in page order, joined by newlines, with character references decoded and white space
-    inside a block turned into one space; headings inside the article belong to it. Null or empty html, and pages without
-    an article, give an empty text. A host with one page is its own wrapper. Repeated rows give a row each; an
-    empty table gives no rows; other columns are ignored.
+    inside a block turned into one space; headings inside the article belong to it. Text that all pages of a host share
+    is its template's, once three pages differ. Null or empty html, and pages without an article, give an empty text. A
+    host with one page is its own wrapper. Markup that is broken ends at the next angle bracket. Repeated rows give a
+    row each; an empty table gives no rows; other columns are ignored.
     """
-    known = Written(wrappers(pages).select(F.col("host").alias("__host"), "paths"), "wrappers").df
-    side = broadcast_if_small(known, 64, extra=F.length("__host") + F.length("paths"))
+    known = Written(wrappers(pages).select(F.col("host").alias("__host"), "rules"), "wrappers").df
+    side = broadcast_if_small(known, 64, extra=F.length("__host") + F.length("rules"))
     base = pages.select("page_id", "url", F.col("html").cast("string").alias("html"), host_of(F.col("url")).alias("__of"))
-    joined = base.join(side, F.col("__of") == F.col("__host"), "left").select(F.col("page_id").cast("long"), F.col("url").cast("string"), "html", "paths")
+    joined = base.join(side, F.col("__of") == F.col("__host"), "left").select(F.col("page_id").cast("long"), F.col("url").cast("string"), "html", "rules")
     return joined.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
