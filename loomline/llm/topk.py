@@ -8,6 +8,8 @@ kth score. The partial results are merged by rank.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -17,44 +19,56 @@ from loomline.llm.common import Written
 from loomline.llm.forest import valid_vectors
 
 
-def threshold_top_k(x: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int, first_step: int = 8) -> tuple[list[tuple[int, int, int]], int]:
+def threshold_top_k(x: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int, first_step: int = 8, together: int = 256) -> tuple[list[tuple[int, int, int]], int]:
     """(query's place, id, score) of the k best rows of each query without rows of its ``own`` id, and rows scored.
 
-    x and queries are integers. Ties go to the smaller id: a query stops only when the bound is below its kth score.
+    x (ids ascending) and queries are integers. Ties go to the smaller id: a query stops only when the bound is below its
+    kth score. Queries run ``together`` through the same depths; one that has stopped takes no further part.
     """
     n, dims = x.shape
     order = np.argsort(x, axis=0, kind="stable")
     ranked = np.take_along_axis(x, order, axis=0)
+    low = np.empty_like(order)
+    np.put_along_axis(low, order, np.arange(n)[:, None], axis=0)  # each row's place in each list, from the low end
+    # Scores are whole numbers that a double holds exactly; a key is a score and, of equal ones, the earlier row.
+    exact = float(np.abs(x).max(initial=0)) * float(np.abs(queries).max(initial=0)) * dims < 2**52 / max(1, n)
+    kind = np.float64 if exact else object
+    rows, nothing = x.astype(kind), np.iinfo(np.int64).min if exact else -math.inf
     out, scored = [], 0
-    for q, (query, self_id) in enumerate(zip(queries, own, strict=True)):
-        used = np.flatnonzero(query)
-        up = query[used] > 0
-        seen = np.zeros(n, bool)
-        best_ids, best = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for begin in range(0, len(queries), together):
+        q, self_ids = queries[begin : begin + together], own[begin : begin + together]
+        up, down, wide = (q > 0).astype(np.float32), (q < 0).astype(np.float32), q.astype(kind)
+        best = np.full((len(q), k), nothing, np.int64 if exact else object)
+        seen, active = np.zeros((len(q), n), bool), np.arange(len(q))
         depth, step = 0, first_step
-        while True:
-            to = min(n, depth + step) if len(used) else n
-            if len(used):
-                met = np.concatenate([order[n - to : n - depth, used[up]].ravel(), order[depth:to, used[~up]].ravel()])
-                new = np.zeros(n, bool)
-                new[met] = True
-                new &= ~seen
+        while len(active):
+            to = min(n, depth + step)
+            if to < n:
+                met = up[active] @ (n - 1 - low < to).astype(np.float32).T + down[active] @ (low < to).astype(np.float32).T > 0
             else:
-                new = ~seen
-            seen |= new
-            rows = np.flatnonzero(new & (ids != self_id))
-            if len(rows):
-                scored += len(rows)
-                best_ids, best = np.concatenate([best_ids, ids[rows]]), np.concatenate([best, x[rows] @ query])
-                top = np.lexsort((best_ids, -best))[:k]
-                best_ids, best = best_ids[top], best[top]
+                met = np.ones((len(active), n), bool)
+            new = met & ~seen[active] & (ids[None, :] != self_ids[active][:, None])
+            seen[active] |= met
+            scored += int(new.sum())
+            at = np.flatnonzero(new.any(axis=0))
+            if len(at):
+                score = wide[active] @ rows[at].T
+                keys = (score.astype(np.int64) if exact else score) * n + (n - 1 - at)
+                keys[~new[:, at]] = nothing
+                keys = np.concatenate([best[active], keys], axis=1)
+                best[active] = np.partition(keys, keys.shape[1] - k, axis=1)[:, -k:] if exact else np.sort(keys, axis=1)[:, -k:]
             if to == n:
                 break
-            edge = np.where(up, ranked[n - to, used], ranked[to - 1, used])
-            if len(best) == k and int(edge @ query[used]) < best[-1]:
+            # No row that is not yet met scores more than this.
+            edge = wide[active] * np.where(q[active] > 0, ranked[n - to], ranked[to - 1])
+            bound, kth = edge.sum(axis=1), best[active].min(axis=1)
+            active = active[(kth == nothing) | (bound >= kth // n)]
+            if not len(active):
                 break
-            depth, step = to, 2 * step
-        out += [(q, int(i), int(s)) for i, s in zip(best_ids, best, strict=True)]
+            # Where most rows have been met, going deeper step by step costs more than scoring the rest.
+            depth, step = to, 4 * step if 2 * seen[active].mean() < 1 else n
+        for i, keys in enumerate(np.sort(best, axis=1)[:, ::-1]):
+            out += [(begin + i, int(ids[n - 1 - int(key) % n]), int(key) // n) for key in keys if key != nothing]
     return out, scored
 
 
@@ -75,7 +89,7 @@ def _search(k: int):
     return run
 
 
-def top_k(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 50, k: int = 5, scale: int = 256, block: int = 1024, query_block: int = 512) -> DataFrame:
+def top_k(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 50, k: int = 5, scale: int = 256, block: int = 8192, query_block: int = 4096) -> DataFrame:
     """The k best rows of each query: query_id, rank (from 1), vec_id, score.
 
     Components become floor(scale * x) with x as double; the score is the integer inner product. Queries are the rows
@@ -83,6 +97,9 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
     smaller id, and a query with fewer candidates returns them all. Vectors that are null, empty or hold null or
     non-finite components, and rows with a null id, take no part; a zero vector does. Equal repeated rows count once;
     an id with several vectors is a candidate (and a query) by its best score. Other columns are ignored.
+
+    How many rows a query scores depends on the vectors: with few dimensions or uneven ones the bound stops it early; in many
+    even dimensions no bound of this kind can, and all rows are scored. Results are exact either way.
     """
     fine = valid_vectors(vectors, id_col, vec_col, zero=True).select("id", F.transform("vec", lambda c: F.floor(c * scale)).alias("vec")).distinct()
     fine = Written(fine.withColumn("dim", F.size("vec")), "vectors").df

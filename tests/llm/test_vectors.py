@@ -63,11 +63,32 @@ def test_top_k(spark):
     assert sorted(tuple(r) for r in top_k(few).collect()) == [(0, 1, 1, 131072), (0, 2, 2, -65536)]
 
 
+def wanted(x, ids, queries, own, k):
+    out, x, queries = [], x.astype(object), queries.astype(object)
+    for q in range(len(queries)):
+        out += [(q, j, -s) for s, j in sorted((-int(queries[q] @ x[i]), int(ids[i])) for i in range(len(x)) if ids[i] != own[q])[:k]]
+    return out
+
+
 def test_threshold_stops_early_and_right():
     rng = np.random.default_rng(0)
     x = rng.integers(-50, 50, (4000, 3))
-    found, scored = threshold_top_k(x, np.arange(4000), x[:20], np.arange(20), 5)
-    assert scored < 20 * 4000 * 0.5
-    for q in range(20):
-        want = sorted((-int(x[q] @ x[j]), j) for j in range(4000) if j != q)[:5]
-        assert [(-s, i) for p, i, s in found if p == q] == want
+    found, scored = threshold_top_k(x, np.arange(4000), x[:20], np.arange(20), 5, together=7)
+    assert scored < 20 * 4000 * 0.5 and found == wanted(x, np.arange(4000), x[:20], np.arange(20), 5)
+
+
+def test_threshold_stops_early_where_dimensions_are_uneven():
+    rng = np.random.default_rng(1)
+    x = np.floor(rng.standard_normal((3000, 64)) * np.array([200, 100, 50, *[0.5] * 61])).astype(np.int64)
+    found, scored = threshold_top_k(x, np.arange(3000) * 2, x[:40], np.arange(40) * 2, 5)
+    assert scored < 40 * 3000 * 0.6 and found == wanted(x, np.arange(3000) * 2, x[:40], np.arange(40) * 2, 5)
+
+
+def test_threshold_ties_zeros_few_rows_and_large_numbers():
+    x = np.array([[0, 0], [1, -1], [1, -1], [0, 0], [-3, 2]])
+    ids = np.array([1, 4, 4, 7, 9])
+    for k in (1, 3, 9):
+        q, own = np.array([[0, 0], [5, 0], [-1, -1]]), np.array([7, 4, 100])
+        assert threshold_top_k(x, ids, q, own, k, first_step=1)[0] == wanted(x, ids, q, own, k)
+    big = np.array([[2**40, 1], [2**40, 2], [-(2**40), 3]])
+    assert threshold_top_k(big, np.arange(3), big, np.arange(3), 2)[0] == wanted(big, np.arange(3), big, np.arange(3), 2)
