@@ -1,6 +1,7 @@
 import numpy as np
 
-from loomline.llm.forest import near_duplicates
+from loomline.llm.common import Written
+from loomline.llm.forest import _router, fit_forest, near_duplicates, split_large, unit
 from loomline.llm.topk import threshold_top_k, top_k
 
 
@@ -40,6 +41,34 @@ def test_near_duplicates(spark):
     assert sum(r.vec_id == 5 for r in out) == 2
 
 
+def test_large_leaves_are_split_on(spark):
+    """A table far beyond the sample: leaves end small but for copies, and links equal brute force."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((6000, 16)).astype(np.float32)
+    x[3000:3600] = x[:600] + 0.04 * rng.standard_normal((600, 16)).astype(np.float32)
+    x[5000:5300] = x[7]
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<float>")
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    hit = u @ u.T >= 0.95
+    np.fill_diagonal(hit, False)
+    for n_trees, least in ((4, 0.99),):
+        got = {r.vec_id: r for r in near_duplicates(df, leaf=24, block=64, sample_rows=64, n_trees=n_trees).collect()}
+        found = np.array([got[i].n_links for i in range(len(x))])
+        assert (found <= hit.sum(axis=1)).all() and least * hit.sum() <= found.sum()
+    sample = unit([row.astype(np.float32).tobytes() for row in x[:64]], single=True)
+    sent = spark.sparkContext.broadcast(fit_forest({16: sample}, {16: len(x)}, 3, 24, 0.03, 5))
+    fine = df.selectExpr("vec_id AS id", "embedding AS vec")
+    routed = Written(fine.mapInArrow(_router(sent, 0.03, True), "id long, dim int, vec binary, cells array<long>"), "routed")
+    before = routed.df.selectExpr("explode(cells) AS c").groupBy("c").count().agg({"count": "max"}).first()[0]
+    for together in (50_000, 2):
+        after, sizes = split_large(Written(routed.df, "copy"), 24, 0.03, 5, True, cell_sample=128, together=together)
+        cells = {r.id: r.cells for r in after.df.collect()}
+        large = [r for r in sizes.df.collect() if r.n > 4 * 24]
+        assert set(cells) == set(range(len(x))) and all(c == sorted(set(c)) and c for c in cells.values())
+        assert before > 1000 and all(r.n < 500 for r in large) and len(large) <= 6
+        assert cells[5000] == cells[5299] == cells[7]
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert near_duplicates(none).count() == 0 and top_k(none).count() == 0
