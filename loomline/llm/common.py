@@ -10,13 +10,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only if its measured size is at most this many bytes.
 BROADCAST_BYTES = 16 << 20
 
 _written: list[tuple[SparkSession, str]] = []
+_local: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,9 +28,9 @@ def shared_dir(spark: SparkSession) -> str:
         return found.rstrip("/")
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    found = "file://" + tempfile.mkdtemp(prefix="loomline-")
-    spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    if not _local:  # one JVM: its own temporary folder will do, and the session's settings stay as they are
+        _local.append("file://" + tempfile.mkdtemp(prefix="loomline-"))
+    return _local[0]
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -67,6 +68,22 @@ class Written:
         delete(self.spark, self.path)
 
 
+def quoted(name: str) -> Column:
+    """The column of that very name, dots and signs included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def packed(df: DataFrame, own: list[str]) -> DataFrame:
+    """``own`` columns and all others as one column __rest, so that no name of an operator's own meets one of the input."""
+    rest = [quoted(c) for c in df.columns if c not in own]
+    return df.select(*own, (F.struct(*rest) if rest else F.lit(None).cast("int")).alias("__rest"))
+
+
+def unpacked(columns: list[str], own: list[str]) -> list[Column]:
+    """The columns of a packed table, in their order and by their names."""
+    return [F.col(c) if c in own else F.col("__rest").getField(c).alias(c) for c in columns]
+
+
 def slices(batch: pa.RecordBatch, column: int, most_bytes: int = 4 << 20, most_rows: int = 2048) -> Iterator[pa.RecordBatch]:
     """A batch in parts of at most so many rows, and bytes of a string or binary column unless one row has more."""
     if not batch.num_rows:

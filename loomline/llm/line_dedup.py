@@ -13,7 +13,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import Written, broadcast_if_small
+from loomline.llm.common import Written, broadcast_if_small, packed, quoted, unpacked
 
 #: Tasks over which the lines of one key are dealt when they meet the keys to drop.
 SALTS = 16
@@ -34,11 +34,11 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Data
     at least ``min_docs`` distinct documents hold lose all their lines except in the largest doc_id that holds them.
     Null and empty texts are one empty line and become empty; rows that repeat a doc_id are one document when
     documents are counted, and each loses its lines; a null doc_id is a document below all others. Other
-    columns are kept as they are (columns n_lines and n_dropped of the input are replaced).
+    columns are kept as they are, whatever their names (columns n_lines and n_dropped of the input are replaced).
     """
-    rest = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
-    out = [*(c for c in docs.columns if c not in ("n_lines", "n_dropped")), "n_lines", "n_dropped"]
-    base = docs.select(*rest, F.coalesce("text", F.lit("")).alias("text"))
+    columns, own = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")], ["doc_id", "text"]
+    docs = packed(docs.select(*(quoted(c) for c in columns)), own)
+    base = docs.select("doc_id", "__rest", F.coalesce("text", F.lit("")).alias("text"))
     row = F.xxhash64("text")  # tells apart rows that share a doc_id
     found = base.select("doc_id", row.alias("__row"), F.posexplode(F.split("text", "\n", -1)).alias("__pos", "__line"))
     stripped = found.select("doc_id", "__row", "__pos", F.btrim("__line", F.lit(BLANKS)).alias("__line"))
@@ -60,4 +60,4 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Data
     kept = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("__gone"))
     lines_kept = F.transform(kept, lambda p: F.get("__split", p))
     joined = joined.withColumn("__split", F.when(F.col("__gone").isNotNull(), split))
-    return joined.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(lines_kept, "\n"))).select(*out)
+    return joined.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(lines_kept, "\n"))).select(*unpacked(columns, own), "n_lines", "n_dropped")

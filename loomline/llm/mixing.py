@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import BROADCAST_BYTES, Written, hashed_unit
+from loomline.llm.common import BROADCAST_BYTES, Written, hashed_unit, packed, quoted, unpacked
 
 #: Cells are raked on the driver up to this number, and in a written table beyond it.
 DRIVER_CELLS = 100_000
@@ -171,14 +171,16 @@ def mix(
     mass over its present mass (raking that does not converge warns); a document is selected with probability min(1, s * weight), s giving ``keep`` of
     all tokens in expectation, by a number hashed from seed and doc_id, so repeated ids share their fate. Null
     source, lang or topic is the category "". Empty texts have no tokens and take their cell's probability (0 in a
-    cell without tokens). An empty table stays empty. Columns of the input with these names are replaced.
+    cell without tokens). An empty table stays empty. Columns of the input with these names are replaced; others, whatever
+    their names, stay. ``topic`` may read doc_id, text, lang and source.
     """
-    own = ("n_tokens", "topic", "weight", "probability", "selected")
-    columns = [c for c in docs.columns if c not in own]
+    own = [c for c in docs.columns if c.lower() in ("n_tokens", "topic", "weight", "probability", "selected")]
+    columns, used = [c for c in docs.columns if c not in own], ["doc_id", "text", "lang", "source"]
+    docs = packed(docs.select(*(quoted(c) for c in columns)), used)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keys = {"__source": F.coalesce("source", F.lit("")), "__lang": F.coalesce("lang", F.lit("")), "__topic": F.coalesce(default_topic(text) if topic is None else topic, F.lit(""))}
     count = F.regexp_count(text, F.lit(r"\S+")).cast("long")
-    told = docs.select(*columns, count.alias("__n"), *(v.alias(k) for k, v in keys.items()))
+    told = docs.select(*used, "__rest", count.alias("__n"), *(v.alias(k) for k, v in keys.items()))
     cells = told.groupBy(*MARGINS).agg(F.sum(F.col("__n").cast("double")).alias("__tokens"))
     given, spark = [source_shares, lang_shares, topic_shares], docs.sparkSession
     cells = Written(cells, "cells").df
@@ -190,5 +192,5 @@ def mix(
     mixed = told.join(table, list(MARGINS), "left")
     p = F.coalesce("__p", F.lit(0.0))
     return mixed.select(
-        *columns, F.col("__n").alias("n_tokens"), F.col("__topic").alias("topic"), F.coalesce("__weight", F.lit(0.0)).alias("weight"), p.alias("probability"), (hashed_unit(seed, "doc_id") < p).alias("selected")
+        *unpacked(columns, used), F.col("__n").alias("n_tokens"), F.col("__topic").alias("topic"), F.coalesce("__weight", F.lit(0.0)).alias("weight"), p.alias("probability"), (hashed_unit(seed, "doc_id") < p).alias("selected")
     )

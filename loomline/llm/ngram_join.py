@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomline.llm.common import Written, broadcast_if_small
+from loomline.llm.common import Written, broadcast_if_small, packed, slices, unpacked
 from loomline.llm.components import connected_components
 
 _WORDS = re.compile(r"\w+").findall
@@ -117,8 +117,7 @@ def _signatures(n: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, minhash = Shingler(n), MinHash(bands, rows)
         for batch in batches:
-            for low in range(0, batch.num_rows, 256):
-                part = batch.slice(low, 256)
+            for part in slices(batch, 1, most_rows=256):
                 keys, sizes, signs = [], [], []
                 for text in part.column(1).to_pylist():
                     words = words_of(text or "")
@@ -137,8 +136,7 @@ def _sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(n)
         for batch in batches:
-            for low in range(0, batch.num_rows, 256):
-                part = batch.slice(low, 256)
+            for part in slices(batch, 0, most_rows=256):
                 sets = [shingles(words_of(t or "")).tobytes() for t in part.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(sets, pa.binary())], ["key", "copies", "bands", "cells", "grams"])
 
@@ -233,7 +231,7 @@ def ngram_join(docs: DataFrame, n: int = 5, similarity: float = 0.8, recall: flo
     each. A null doc_id joins its class but never names it while another id does. No pair of a candidate bucket is left
     out; the banding misses a pair of exactly the threshold with probability 1 - recall.
     """
-    seen, classes = _classes(docs, n, similarity, recall, block)
+    seen, classes, _ = _classes(docs, n, similarity, recall, block)
     classes = Written(classes.select("key", "class_id", "copies", "texts", "docs"), "classes").df
     out = seen.select("doc_id", "key").join(classes, "key", "left")
     return out.select(
@@ -241,14 +239,16 @@ def ngram_join(docs: DataFrame, n: int = 5, similarity: float = 0.8, recall: flo
     )
 
 
-def _classes(docs: DataFrame, n: int, similarity: float, recall: float = 0.9999, block: int = 128) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, key, more) of all rows, and (key, doc, component, class_id, copies, texts, docs) of their word sequences.
+def _classes(docs: DataFrame, n: int, similarity: float, recall: float = 0.9999, block: int = 128) -> tuple[DataFrame, DataFrame, bool]:
+    """(doc_id, key, more) of all rows, (key, doc, component, class_id, copies, texts, docs) of their word sequences, and
+    whether no doc_id repeats.
 
     doc is the smallest doc_id of a word sequence; component names its class even where ids are null or repeat.
     """
     bands, rows = bands_for(similarity, recall)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     seen = Written(base.mapInArrow(_signatures(n, bands, rows), "doc_id long, key binary, grams long, bands array<long>"), "signatures").df
+    unique = seen.groupBy("doc_id").count().where("count > 1").isEmpty()
     once = seen.where(F.col("key").isNotNull()).groupBy("key", "doc_id").agg(F.max("grams").alias("grams"))
     texts = Written(once.groupBy("key").agg(F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("copies"), F.max("grams").alias("grams")), "texts").df
     # One row for each class and band: the bands of equal texts are equal, so copies fall together at once.
@@ -257,17 +257,17 @@ def _classes(docs: DataFrame, n: int, similarity: float, recall: float = 0.9999,
     buckets = banded.df.groupBy("band").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least <> most").select("band", "least")
     links = banded.df.join(buckets, "band").where("key <> least").select(F.col("key").alias("a"), F.col("least").alias("b"))
     candidates = connected_components(links)
-    found = connected_components_of_texts(base, texts, seen, banded.df, candidates.df, n, similarity, block) if candidates is not None else None
+    found = connected_components_of_texts(base, texts, seen, banded.df, candidates.df, n, similarity, block, unique) if candidates is not None else None
     banded.drop()
     if found is None:
         none = F.lit(0).cast("long")
-        return seen, texts.select("key", "doc", F.col("key").alias("component"), F.col("doc").alias("class_id"), "copies", none.alias("texts"), none.alias("docs"))
+        return seen, texts.select("key", "doc", F.col("key").alias("component"), F.col("doc").alias("class_id"), "copies", none.alias("texts"), none.alias("docs")), unique
     counts, linked = found
     told = texts.join(counts, "key", "left").join(linked.withColumnRenamed("node", "key"), "key", "left")
     told = told.select("key", "doc", "copies", F.coalesce("texts", F.lit(0)).alias("texts"), F.coalesce("docs", F.lit(0)).alias("docs"), F.coalesce("component", "key").alias("component"))
     told = Written(told, "told").df
     named = told.groupBy("component").agg(F.min("doc").alias("class_id"))
-    return seen, told.join(named, "component").select("key", "doc", "component", "class_id", "copies", "texts", "docs")
+    return seen, told.join(named, "component").select("key", "doc", "component", "class_id", "copies", "texts", "docs"), unique
 
 
 def _cells(members: DataFrame, block: int) -> DataFrame:
@@ -281,7 +281,9 @@ def _cells(members: DataFrame, block: int) -> DataFrame:
     by_grams = F.ceil(F.col("g") / 1_000_000)
     many = F.greatest(F.lit(24), F.ceil(F.col("m") / 1024), by_grams)
     size = size.select("comp", F.greatest(F.least(few, many), by_grams, F.lit(1)).cast("int").alias("nb"))
-    return members.join(size, "comp").select("key", "comp", "nb", "band")
+    # Only groups of several blocks meet their members; they are few, and members need not be dealt by group for it.
+    large = broadcast_if_small(Written(size.where("nb > 1"), "blocks").df, 48)
+    return members.join(large, "comp", "left").select("key", "comp", F.coalesce("nb", F.lit(1)).alias("nb"), "band")
 
 
 def _loose_groups(banded: DataFrame, candidates: DataFrame, block: int) -> DataFrame | None:
@@ -296,7 +298,7 @@ def _loose_groups(banded: DataFrame, candidates: DataFrame, block: int) -> DataF
     return None if loose.isEmpty() else loose
 
 
-def connected_components_of_texts(base: DataFrame, texts: DataFrame, seen: DataFrame, banded: DataFrame, candidates: DataFrame, n: int, similarity: float, block: int) -> tuple[DataFrame, DataFrame] | None:
+def connected_components_of_texts(base: DataFrame, texts: DataFrame, seen: DataFrame, banded: DataFrame, candidates: DataFrame, n: int, similarity: float, block: int, unique: bool) -> tuple[DataFrame, DataFrame] | None:
     """Verify the candidate groups (node, component): (key, texts, docs) counts and (node, component) of true links."""
     members = candidates.join(texts.withColumnRenamed("key", "node"), "node")
     members = Written(members.select(F.col("node").alias("key"), F.col("component").alias("comp"), "doc", "copies", "grams"), "members").df
@@ -320,8 +322,7 @@ def connected_components_of_texts(base: DataFrame, texts: DataFrame, seen: DataF
     wanted = base.join(side, F.col("doc_id").eqNullSafe(F.col("__doc"))).select("text", "key", "copies", "bands", "cells")
     sets = wanted.mapInArrow(_sets(n), SETS)
     # A doc_id that repeats with other words gives sets under a key that is not theirs; the key's own text decides.
-    repeated = base.groupBy("doc_id").count().where("count > 1").isEmpty()
-    if not repeated:
+    if not unique:
         sets = _own_sets(base, side, n)
     sets = sets.select("key", "copies", "bands", "grams", F.inline("cells"))
     b = F.pmod(F.xxhash64("key"), F.col("nb")).cast("int")
@@ -369,13 +370,15 @@ def keep_one(docs: DataFrame, n: int = 5, similarity: float = 0.8) -> DataFrame:
     Rows without words are classes of their own and all stay. Null and repeated doc_ids are no reason to go: a row goes
     only if the row that stays has the same words or is linked to it. Of rows with equal doc_id and words any one stays.
     """
-    seen, classes = _classes(docs, n, similarity)
+    columns, own = docs.columns, ["doc_id", "text"]
+    docs = packed(docs, own)
+    seen, classes, unique = _classes(docs, n, similarity)
     classes = Written(classes, "classes").df
-    if seen.groupBy("doc_id").count().where("count > 1").isEmpty():  # an id is a row
+    if unique:  # an id is a row
         told = seen.select("doc_id", "key").join(classes.select("key", "class_id"), "key")
         gone = told.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__gone"))
         gone = broadcast_if_small(Written(gone, "gone").df, 32)
-        return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__gone")), "left_anti")
+        return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__gone")), "left_anti").select(*unpacked(columns, own))
     # A row is its id and words. The first of a class: its smallest id, then the smallest key.
     first = classes.groupBy("component").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "key")).alias("first"))
     first = broadcast_if_small(Written(first.select(F.col("first.doc").alias("__doc"), F.col("first.key").alias("__first")), "first").df, 48)
@@ -384,4 +387,4 @@ def keep_one(docs: DataFrame, n: int = 5, similarity: float = 0.8) -> DataFrame:
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")) & (F.col("__key") == F.col("__first"))
     kept = rows.where(F.col("__key").isNotNull()).join(first, same, "left_semi")
     kept = kept.withColumn("__id", F.col("doc_id").cast("long")).dropDuplicates(["__id", "__key"]).drop("__id")
-    return kept.unionByName(rows.where(F.col("__key").isNull())).drop("__key")
+    return kept.unionByName(rows.where(F.col("__key").isNull())).select(*unpacked(columns, own))

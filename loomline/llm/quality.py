@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomline.llm.common import quoted, slices
+
 #: Bits of the hashed feature space: the model is two arrays of 2**BITS numbers, whatever the corpus.
 BITS = 18
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -110,11 +112,11 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -30, 30))))
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, c: float = 1.0, epochs: int = 30, smooth: float = 1.0, seed: int = 17) -> Model:
+def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, c: float = 1.0, epochs: int = 30, smooth: float = 1.0, seed: int = 17, tolerance: float = 1e-3) -> Model:
     """Fit on features and 0/1 labels. With one class only, every text gets that class's smoothed share.
 
     The squared-hinge dual min 1/2 |w|^2 + sum a_i^2 / (4 c_i) - sum a_i is solved one coordinate at a time; classes
-    weigh alike. The margins of three held-out folds then fit the two numbers of the logistic score.
+    weigh alike; rounds end when none moves by ``tolerance``. The margins of three held-out folds then fit the two numbers of the logistic score.
     """
     labels = np.asarray(labels, int)
     dim, positive = 1 << bits, int(labels.sum())
@@ -144,7 +146,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, c: float =
                     b += step * y[j]
                     a[j] = new
                     moved = max(moved, abs(step))
-            if moved < 1e-3:
+            if moved < tolerance:
                 break
         return w * ratio, b
 
@@ -184,15 +186,17 @@ def _features(bits: int):
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = 4000, bits: int = BITS) -> Model:
     """Fit on at most ``max_rows`` labelled documents of each class, those whose hashed doc_id comes first.
 
-    Only documents whose crc32(doc_id as text) mod 5 is not 0 are used. The bound limits the fit alone.
+    Only documents whose crc32(doc_id as text) mod 5 is not 0 are used, labels other than 0 and 1 are none, and of the texts
+    of a repeated doc_id the smallest counts. The bound limits the fit alone.
     """
-    known = labels.where(F.col(label).isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 5 != 0))
+    known = labels.where(F.col(label).isin(0, 1) & (F.crc32(F.col("doc_id").cast("string")) % 5 != 0))
     known = known.groupBy("doc_id").agg(F.round(F.avg(F.col(label).cast("double"))).cast("int").alias("label"))
     texts = docs.select(F.col("doc_id").alias("__doc"), "text")
     order = F.xxhash64("doc_id", F.lit(5))
     # At most 2 * max_rows ids: a proven bound for the broadcast.
     sample = known.where("label = 1").orderBy(order).limit(max_rows).unionByName(known.where("label <> 1").orderBy(order).limit(max_rows))
-    sampled = texts.join(F.broadcast(sample), F.col("__doc") == F.col("doc_id")).select(F.col("label").cast("int"), F.col("text").cast("string"))
+    sampled = texts.join(F.broadcast(sample), F.col("__doc") == F.col("doc_id")).groupBy("__doc").agg(F.max("label").alias("label"), F.min(F.col("text").cast("string")).alias("text"))
+    sampled = sampled.select(F.col("label").cast("int"), "text")
     rows = sampled.mapInArrow(_features(bits), "label int, features array<int>").toArrow()
     order_rows = sorted(zip(rows.column(0).to_pylist(), (np.asarray(x.values, np.int64) for x in rows.column(1)), strict=True), key=lambda r: (r[0], len(r[1]), r[1].tobytes()))
     return fit([r[1] for r in order_rows], np.array([r[0] for r in order_rows], int), bits)
@@ -202,25 +206,25 @@ def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", cu
     """``docs`` with held_out, ``name`` (double, 0 to 1) and predicted (1 if the score is at least ``cut``, else 0).
 
     The score is a function of the text alone; null text is empty and gets the score of no n-grams. A null doc_id is
-    held out. Documents with several labels take the rounded mean; with no labels or one class all scores are
-    alike. Repeated rows get a row each, other columns stay (held_out, score and predicted are replaced).
+    held out. Labels other than 0 and 1 do not count; documents with several take the rounded mean; with no labels or one
+    class all scores are alike. Repeated rows get a row each, other columns stay (held_out, score and predicted are replaced).
     """
     from pyspark.sql import types as T
 
     model = train(docs, labels, label, max_rows)
     sent = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.bias, model.slope, model.shift))
-    columns = [c for c in docs.columns if c not in ("held_out", name, "predicted")]
+    columns = [c for c in docs.columns if c.lower() not in ("held_out", name, "predicted")]
+    at = columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, own = Features(), Model(*sent.value)
         for batch in batches:
-            for low in range(0, batch.num_rows, 512):
-                rows = batch.slice(low, 512)
-                text = rows.column(columns.index("text")).to_pylist()
+            for rows in slices(batch, at):
+                text = rows.column(at).to_pylist()
                 scores = pa.array([own.score(features(t or "")) for t in text], pa.float64())
                 yield pa.RecordBatch.from_arrays([*rows.columns, scores], [*columns, name])
 
-    base = docs.select(*columns)
+    base = docs.select(*(quoted(c) for c in columns))
     schema = T.StructType([*base.schema.fields, T.StructField(name, T.DoubleType())])
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(True))
     return base.mapInArrow(run, schema).withColumn("held_out", held).withColumn("predicted", (F.col(name) >= cut).cast("int"))

@@ -40,3 +40,10 @@ def test_plan_is_native_and_empty_table(spark):
     assert out.count() == 0
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_names_that_clash(spark):
+    line = "a line that is long enough to be counted by documents"
+    rows = [(i, f"own {i}\n{line}", "kept", i) for i in range(6)]
+    out = dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, __row string, __key long")).orderBy("doc_id").collect()
+    assert [(r["__row"], r["__key"], r["n_dropped"]) for r in out] == [("kept", i, int(i < 5)) for i in range(6)]

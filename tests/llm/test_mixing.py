@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loomline.llm.mixing import calibrate, mix, rake
 
@@ -71,3 +72,19 @@ def test_both_ways_refuse_shares_of_no_category(spark):
 def test_raking_that_does_not_converge_warns():
     with pytest.warns(RuntimeWarning, match="not converged"):
         rake(np.array([1.0, 1.0]), [np.array([0, 1]), np.array([0, 1])], [np.array([0.5, 0.5]), np.array([0.9, 0.1])])
+
+
+def test_against_brute_force(spark):
+    import brute
+
+    docs = []
+    for i in range(400):
+        text = ["the licensed text", "mail a@b", "a | b", "x = {y}", "plain prose words"][i * i % 5] + " word" * (i * 7 % 23)
+        docs.append((i if i % 40 else i // 80, text, ["en", "de", None][i % 3], ["s1", "s2", "s3", None][i * 3 % 7 % 4]))
+    docs += [(500, None, None, None), (None, "", "en", "s1"), (None, "words here", "en", "s1"), docs[3]]
+    got = mix(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").withColumn("__n", F.lit(1)).withColumn("__p", F.lit("x")))
+    assert got.columns[:6] == ["doc_id", "text", "lang", "source", "__n", "__p"]
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    want = sorted(((d[0], d[1], *m) for d, m in zip(docs, brute.mixed(docs))), key=key)
+    for r, w in zip(sorted(got.select("doc_id", "text", "weight", "probability", "selected").collect(), key=key), want, strict=True):
+        assert r[:2] == w[:2] and r["weight"] == pytest.approx(w[2], rel=1e-6) and r["probability"] == pytest.approx(w[3], rel=1e-6) and r["selected"] == w[4]

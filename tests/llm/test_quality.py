@@ -1,6 +1,9 @@
 import random
 import zlib
 
+import numpy as np
+import pytest
+
 from loomline.llm.quality import Features, chunks_of, fit, score_quality
 
 
@@ -40,3 +43,25 @@ def test_long_runs_give_features_to_their_end():
     one, two = (set(features(head + t)) for t in tails)
     assert min(len(one), len(two)) > 150 and len(one & two) < 0.2 * len(one)
     assert "".join(chunks_of(head + tails[0])) == head + tails[0] and chunks_of("a " + "b" * 80) == ["a", "b" * 80]
+
+
+def test_scores_and_fit_against_brute_force(spark):
+    import brute
+
+    from loomline.llm.quality import BITS, Features, score_quality, train
+
+    rng = np.random.default_rng(2)
+    words = ["the", "of", "Word,", "x9", "###", "A-B", "http://q", "naïve", "!!", "42", "end."]
+    texts = [" ".join(rng.choice(words, int(rng.integers(1, 40)), p=None)) + ("\n" * int(rng.integers(0, 3))) + ("z9!" * 200 if i % 17 == 0 else "") for i in range(120)]
+    texts += [None, "", " \n\t ", texts[3], "word " * 30_000 + "q" * 100_000]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(5, texts[5])], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(len(t or "") % 2)) for i, t in enumerate(texts[:120])] + [(1, 7), (2, None)], "doc_id long, quality int")
+    for t in texts:
+        assert set(Features()(t or "").tolist()) == brute.features(t or "")
+    model = train(docs, labels)
+    for r in score_quality(docs, labels).collect():
+        assert r["score"] == pytest.approx(brute.score(model, texts[r["doc_id"]] or ""), abs=1e-5) and r["predicted"] == (r["score"] >= 0.3)
+    rows = [np.array(sorted(brute.features(t)), np.int64) for t in texts[:80]]
+    told = np.array([len(t) % 2 for t in texts[:80]])
+    fitted = fit(rows, told, epochs=5000, tolerance=1e-7)
+    assert brute.is_optimal(rows, told, fitted.weights, fitted.bias, 1 << BITS) < 1e-4
