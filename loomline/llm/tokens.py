@@ -231,3 +231,9 @@ class ChunkCounts(dict):
             self.clear()
         self[chunk] = n = len(self.encoding.encode_ordinary(chunk))
         return n
+
+
+@lru_cache(maxsize=2)
+def chunk_counts(path: str) -> ChunkCounts:
+    """One for each worker process, as token_ids."""
+    return ChunkCounts(path)

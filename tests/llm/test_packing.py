@@ -63,7 +63,7 @@ def test_chunk_counts_add_up():
     from loomline.llm.token_counts import CountedText
 
     for text in TEXTS:
-        assert CountedText(text or "", c.__getitem__, 10).tree.total() == len(c.encoding.encode_ordinary(text or ""))
+        assert CountedText.of(text or "", c.__getitem__, 10).tree.total() == len(c.encoding.encode_ordinary(text or ""))
 
 
 def test_round_trip(spark, tokenizer):
