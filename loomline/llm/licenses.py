@@ -103,8 +103,9 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
 
     Words are runs of digits, a-z (after ASCII lower-casing) and non-ASCII characters of the whole text. n_base counts
     all places of the base phrases, first_word and last_word are their smallest and largest start (null if none).
-    labels holds the base labels and those of the rules' detections that no other detection contains. The score is
-    1 - product(1 - weight) over detections, 1 with a base phrase. Null and empty texts have no words, empty labels
+    labels holds the base labels and those of the rules' detections. Matches are taken by falling priority, of one priority
+    the longer of those with one start first; a match inside one already taken is suppressed, while a match of lower
+    priority around one stays beside it. The score is 1 - product(1 - weight) over detections, 1 with a base phrase. Null and empty texts have no words, empty labels
     and score 0; repeated rows give a row each; an empty table gives no rows; other columns are ignored.
     """
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary")).mapInArrow(_scan, SCHEMA)

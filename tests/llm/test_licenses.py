@@ -3,7 +3,7 @@ import re
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from loomline.llm.license_rules import BASE, rules
+from loomline.llm.license_rules import BASE, TEXTS, rules
 from loomline.llm.licenses import Scanner, scan_licenses
 
 SCANNER = Scanner()
@@ -53,3 +53,28 @@ def test_edges(spark):
     assert by[3].n_base == 2000 and by[3].last_word == 4 * 1999 and by[3].score == 1
     assert by[None].base_labels == "cc-by-nc"
     assert scan_licenses(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_hand_written_rules_stand_behind_their_own_words():
+    assert len(TEXTS) > 200 and len({(t[0], t[3]) for t in TEXTS}) == len(TEXTS)
+    for label, weight, gates, pattern in TEXTS:
+        assert 0 < weight <= 1 and all(re.search(rf"(?<![a-z0-9]){g}(?![a-z0-9])", pattern) for g in gates), (label, gates)
+
+
+NOTICES = st.sampled_from(
+    ["under the mit license", "licensed under the apache license version 2 0", "the license", "spdx license identifier gpl 3 0 or later", "all rights reserved", "gnu general public license version 3 29 june 2007",
+     "see the gnu gpl license for details", "mozilla public license version 2 0", "cc by nc sa 4 0", "word", "released under the terms of the bsd 3 clause license", "license mit license"]
+)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(NOTICES, max_size=10).map(" ".join))
+def test_suppression_against_brute_force(text):
+    """By falling priority, then by start and length: what lies inside a match already taken goes, and nothing else."""
+    every = [(-priority, m.start(), -m.end(), name, label) for name, label, priority, _, _, pattern in rules() for m in pattern.finditer(text)]
+    taken = []
+    for priority, start, end, name, label in sorted(every):
+        if not any(s <= start and -end <= e for s, e, _, _ in taken):
+            taken.append((start, -end, name, label))
+    got = SCANNER.scan(text.encode())[7]
+    assert sorted((name, label, text.count(" ", 0, s), text.count(" ", 0, e)) for s, e, name, label in taken) == sorted(d[:4] for d in got)
