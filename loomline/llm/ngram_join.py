@@ -57,7 +57,7 @@ def bands_for(similarity: float, recall: float, most: int = 128) -> tuple[int, i
 class Shingler:
     """Words -> sorted distinct 64-bit hashes of their n-grams; a shorter text has one gram of all its words."""
 
-    def __init__(self, n: int = 5, limit: int = 1_000_000):
+    def __init__(self, n: int = 5, limit: int = 250_000):
         import xxhash
 
         self.n, self.limit, self.hash = n, limit, xxhash.xxh3_64_intdigest

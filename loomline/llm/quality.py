@@ -54,7 +54,7 @@ class Features:
     A word is a run of non-blank characters; one of more than CHUNK characters is cut into consecutive words.
     """
 
-    def __init__(self, bits: int = BITS, limit: int = 600_000):
+    def __init__(self, bits: int = BITS, limit: int = 200_000):
         import xxhash
 
         self.hash = xxhash.xxh64_intdigest

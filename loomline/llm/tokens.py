@@ -82,7 +82,7 @@ class TokenIds:
     ``limit`` bounds, roughly, the words that are kept.
     """
 
-    def __init__(self, path: str, limit: int = 800_000):
+    def __init__(self, path: str, limit: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -214,7 +214,7 @@ def token_ids(path: str) -> TokenIds:
 class ChunkCounts(dict):
     """White space and the word after it -> how many tokens a byte-level BPE makes of them."""
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 300_000):
         import base64
 
         import public_tokenizers
