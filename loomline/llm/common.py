@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -84,7 +85,7 @@ def unpacked(columns: list[str], own: list[str]) -> list[Column]:
     return [F.col(c) if c in own else F.col("__rest").getField(c).alias(c) for c in columns]
 
 
-def slices(batch: pa.RecordBatch, column: int, most_bytes: int = 4 << 20, most_rows: int = 2048) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: int, most_bytes: int = 1 << 20, most_rows: int = 2048) -> Iterator[pa.RecordBatch]:
     """A batch in parts of at most so many rows, and bytes of a string or binary column unless one row has more."""
     if not batch.num_rows:
         return
@@ -97,6 +98,23 @@ def slices(batch: pa.RecordBatch, column: int, most_bytes: int = 4 << 20, most_r
         low = to
 
 
+def give_back() -> None:
+    """Return what this Python worker has freed to the system, so that idle workers hold only what they keep on purpose."""
+    pa.default_memory_pool().release_unused()
+    if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:  # glibc alone has it
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``run`` for mapInArrow; at the end of each task the worker gives freed memory back."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return tidied
+
+
 def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES, extra=None) -> DataFrame:
     """``df`` with a broadcast hint if rows x row_bytes (+ the sum of ``extra``) fits ``limit``; else ``df``.
 

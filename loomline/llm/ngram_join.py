@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomline.llm.common import Written, broadcast_if_small, packed, slices, unpacked
+from loomline.llm.common import Written, broadcast_if_small, packed, slices, tidy, unpacked
 from loomline.llm.components import connected_components
 
 _WORDS = re.compile(r"\w+").findall
@@ -129,7 +129,7 @@ def _signatures(n: int, bands: int, rows: int):
                     [part.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(signs, pa.list_(pa.int64()))], ["doc_id", "key", "grams", "bands"]
                 )
 
-    return run
+    return tidy(run)
 
 
 def _sets(n: int):
@@ -140,7 +140,7 @@ def _sets(n: int):
                 sets = [shingles(words_of(t or "")).tobytes() for t in part.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(sets, pa.binary())], ["key", "copies", "bands", "cells", "grams"])
 
-    return run
+    return tidy(run)
 
 
 def _similar(sets: list[np.ndarray], others: list[np.ndarray] | None, similarity: float) -> np.ndarray:

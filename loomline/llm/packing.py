@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import Written, slices
+from loomline.llm.common import Written, slices, tidy
 
 
 def _tokenizer(path: str, end_id: int):
@@ -37,7 +37,7 @@ def _tokenizer(path: str, end_id: int):
                 )
                 at += int(stops[-1])
 
-    return run
+    return tidy(run)
 
 
 def token_table(docs: DataFrame, tokenizer_path: str, end_id: int = 1) -> DataFrame:

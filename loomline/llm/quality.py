@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import quoted, slices
+from loomline.llm.common import quoted, slices, tidy
 
 #: Bits of the hashed feature space: the model is two arrays of 2**BITS numbers, whatever the corpus.
 BITS = 18
@@ -180,7 +180,7 @@ def _features(bits: int):
             found = [features(t or "").astype(np.int32) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], ["label", "features"])
 
-    return run
+    return tidy(run)
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = 4000, bits: int = BITS) -> Model:
@@ -227,4 +227,4 @@ def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", cu
     base = docs.select(*(quoted(c) for c in columns))
     schema = T.StructType([*base.schema.fields, T.StructField(name, T.DoubleType())])
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(True))
-    return base.mapInArrow(run, schema).withColumn("held_out", held).withColumn("predicted", (F.col(name) >= cut).cast("int"))
+    return base.mapInArrow(tidy(run), schema).withColumn("held_out", held).withColumn("predicted", (F.col(name) >= cut).cast("int"))
