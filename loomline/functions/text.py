@@ -61,3 +61,59 @@ def lexical_overlap(a: Column, b: Column) -> Column:
 def first_match(rules: list[tuple[str, str]], text: Column, default: str) -> Column:
     """The label of the first pattern that matches."""
     return F.coalesce(*[F.when(text.rlike(p), F.lit(label)) for p, label in rules], F.lit(default))
+
+
+#: Spellings of units and what they become.
+UNIT_SPELLINGS = (
+    (r"\$(\d+)", "$1 USD"),
+    (r"(\d+) km\b", "$1 kilometres"),
+    (r"(\d+) minutes\b", "$1 min"),
+    (r"(\d+(?:\.\d+)?) kg\b", "$1 kilograms"),
+    (r"(\d+) units\b", "$1 pcs"),
+    (r"(\d+) users\b", "$1 user accounts"),
+)
+
+
+def other_units(text: Column) -> Column:
+    """Every unit in its other spelling."""
+    for pattern, to in UNIT_SPELLINGS:
+        text = F.regexp_replace(text, pattern, to)
+    return text
+
+
+#: Names of the punctuation variants.
+PUNCTUATION = ("semicolons", "no_periods", "spaced_commas", "dashes")
+
+
+def other_punctuation(text: Column, mode: Column) -> Column:
+    """Full stops at the end of words as semicolons or gone, commas spaced, colons as dashes; another mode changes nothing."""
+    stop = r"\.(?=\s|$)"
+    return (
+        F.when(mode == "semicolons", F.regexp_replace(text, stop, ";")).when(mode == "no_periods", F.regexp_replace(text, stop, ""))
+        .when(mode == "spaced_commas", F.replace(text, F.lit(", "), F.lit(" , "))).when(mode == "dashes", F.replace(text, F.lit(": "), F.lit(" - "))).otherwise(text)
+    )
+
+
+def family_of(group_id: Column) -> Column:
+    """What stands before the first colon."""
+    return F.substring_index(group_id, ":", 1)
+
+
+def question_key(question_id: Column) -> Column:
+    """The id without a last part of at least eight hexadecimal digits, if two other parts stand before it."""
+    return F.regexp_replace(question_id, r"^([^:]*:.*):[0-9a-f]{8,}$", "$1")
+
+
+#: Hosts whose absolute links are articles.
+ARTICLE_HOSTS = ("en.wikipedia.org", "www.wikipedia.org")
+
+
+def article_title(href: Column) -> Column:
+    """The title that a link names, or null: no query, fragment or other host, an article path, no namespace."""
+    host = F.regexp_extract(href, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1)
+    bare = F.regexp_replace(F.regexp_replace(href, r"[?#]+$", ""), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*", "")
+    path = F.regexp_replace(bare, r"^\./", "/wiki/")
+    raw = F.regexp_extract(path, r"^/wiki/(.*)$", 1)
+    slug = F.coalesce(F.try_url_decode(F.replace(raw, F.lit("+"), F.lit("%2B"))), raw)
+    fine = ~href.rlike(r"\?[^#]|#.") & ((host == "") | host.isin(*ARTICLE_HOSTS)) & path.startswith("/wiki/") & (slug != "") & ~slug.contains(":")
+    return F.when(fine, F.replace(slug, F.lit("_"), F.lit(" ")))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-MODULES = ("corpus", "scoring", "gold", "audit", "convert", "telemetry", "streams", "pipelines", "worlds")
+MODULES = ("corpus", "scoring", "gold", "audit", "convert", "telemetry", "streams", "pipelines", "worlds", "actions")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
