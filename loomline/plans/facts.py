@@ -43,3 +43,21 @@ def pred_sql(name: str = "pred", first: int = 1, scored: bool = True) -> str:
         -ln(greatest(p[t + 1], 1e-12)) AS nll, list_sum(list_transform(range(1, k + 1), lambda i: (p[i] - y[i]) ** 2)) AS brier,
         -p[t + 1] / greatest(sqrt(list_sum(list_transform(p, lambda x: x * x))), 1e-12) AS spherical, ln(k) AS uniform_nll FROM {name}_4)"""
     return chain
+
+
+def fit_sql(name: str, rows: str, by: tuple[str, ...] = (), rounds: int = 3, points: int = 33) -> str:
+    """CTEs ending in ``name`` (by.., temperature, nll, nll_before): the grid search over ln T on ``rows`` (z, t), finer in each round."""
+    keys = ", ".join(by) or "one"
+    src = f"{name}_s AS (SELECT *, 1 AS one FROM {rows})"
+    loss = lambda ln: f"avg(list_max(z) / exp({ln}) + ln(list_sum(list_transform(z, lambda x: exp((x - zm) / exp({ln}))))) - z[t + 1] / exp({ln}))"
+    chain, width = [src, f"{name}_0 AS (SELECT {keys}, 0.0::DOUBLE AS ln FROM {name}_s GROUP BY {keys})"], 4.6
+    for r in range(1, rounds + 1):
+        at = f"least(greatest(b.ln + {width!r} * (i.i * {2 / (points - 1)!r} - 1), -4.6), 4.6)"
+        chain.append(f"{name}_g{r} AS (SELECT s.*, list_max(z) AS zm, {at} AS ln FROM {name}_s s JOIN {name}_{r - 1} b USING ({keys}), range({points}) i(i))")
+        chain.append(f"{name}_m{r} AS (SELECT {keys}, ln, {loss('ln')} AS nll FROM {name}_g{r} GROUP BY {keys}, ln)")
+        chain.append(f"{name}_{r} AS (SELECT {keys}, first(ln ORDER BY nll, ln) AS ln, min(nll) AS nll FROM {name}_m{r} GROUP BY {keys})")
+        width = 2 * width / (points - 1)
+    chain.append(f"{name}_one AS (SELECT {keys}, {loss('0.0')} AS one_nll FROM (SELECT *, list_max(z) AS zm FROM {name}_s) GROUP BY {keys})")
+    shown = ", ".join(by) + ", " if by else ""
+    chain.append(f"{name} AS (SELECT {shown}CASE WHEN nll < one_nll THEN exp(ln) ELSE 1.0 END AS temperature, least(nll, one_nll) AS nll, one_nll AS nll_before FROM {name}_{rounds} JOIN {name}_one USING ({keys}))")
+    return ", ".join(chain)

@@ -101,7 +101,13 @@ def accrual(spark, sf):
     return o.select("o_orderkey", F.round(F.aggregate("spans", F.lit(0.0), lambda a, s: a + F.col("x") * s["rate"] * days(s) / 365), 2).alias("interest"))
 
 
-@query("win_running_balance")
+@query("win_running_balance", """WITH RECURSIVE e AS (SELECT user_id, event_id, ts, event_type, abs(coalesce(value, 0)) AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+    h AS (SELECT e.event_id, coalesce(sum(o.v), 0) AS held FROM e LEFT JOIN e o ON o.user_id = e.user_id AND o.k < e.k AND o.event_type = 'error' AND o.ts > e.ts - INTERVAL 3 DAY GROUP BY e.event_id),
+    x AS (SELECT e.*, h.held FROM e JOIN h USING (event_id)),
+    f AS (SELECT user_id, 0::BIGINT AS k, NULL::BIGINT AS event_id, true AS accepted, 0.0::DOUBLE AS posted FROM x GROUP BY user_id UNION ALL
+      SELECT x.user_id, x.k, x.event_id, x.event_type <> 'purchase' OR x.v <= 500 - f.posted - x.held,
+        f.posted + CASE WHEN x.event_type = 'signup' THEN -x.v WHEN x.event_type = 'purchase' AND x.v <= 500 - f.posted - x.held THEN x.v ELSE 0 END FROM f JOIN x ON x.user_id = f.user_id AND x.k = f.k + 1)
+    SELECT event_id, user_id, accepted, round(posted, 6) AS posted FROM f WHERE k > 0""")
 def running_balance(spark, sf):
     def step(state, row):
         posted, holds = state
@@ -120,7 +126,11 @@ def running_balance(spark, sf):
     return R.fold_by(e, "user_id", ["ts", "event_id"], step, "event_id long, user_id long, accepted boolean, posted double", lambda: (0.0, []))
 
 
-@query("win_token_groups")
+@query("win_token_groups", """WITH RECURSIVE d AS (SELECT doc_id, doc_id // 256 AS shard, octet_length(encode(text)) AS size, row_number() OVER (PARTITION BY doc_id // 256 ORDER BY doc_id) AS k FROM documents),
+    g AS (SELECT shard, k, doc_id, 0::BIGINT AS grp, 1 AS held, size FROM d WHERE k = 1 UNION ALL
+      SELECT d.shard, d.k, d.doc_id, g.grp + w.cut, CASE WHEN w.cut = 1 THEN 1 ELSE g.held + 1 END, CASE WHEN w.cut = 1 THEN d.size ELSE g.size + d.size END
+      FROM g JOIN d ON d.shard = g.shard AND d.k = g.k + 1, LATERAL (SELECT CASE WHEN g.held >= 16 OR g.size + d.size > 8192 THEN 1 ELSE 0 END AS cut) w)
+    SELECT doc_id, shard, grp AS "group" FROM g""")
 def token_groups(spark, sf):
     """Greedy grouping of consecutive documents of a source: at most 16 rows and 8192 bytes; an oversize row rides alone."""
 
@@ -146,7 +156,7 @@ def gen_posterior(spark, sf):
     return R.naive_bayes(l, "l_returnflag", ["large", "cheap"])
 
 
-@query("agg_closed_form_pmf")
+@query("agg_closed_form_pmf", "SELECT p_partkey, round(list_aggregate(list_transform(range(0, 5), lambda i: greatest(0, greatest(p_size, 5) - p_partkey % 7 - i)::DOUBLE / (greatest(p_size, 5) - i)), 'product'), 6) AS p_clean FROM part")
 def pmf(spark, sf):
     """Hypergeometric P(no defect in a sample of 5) for lots of p_size items with p_partkey mod 7 defects, as a running product."""
     p = table(spark, sf, "part").select("p_partkey", F.greatest(F.col("p_size"), F.lit(5)).alias("n"), (F.col("p_partkey") % 7).alias("bad"))
@@ -284,7 +294,10 @@ def verify_outcome(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", F.round(0.5 * (F.col("vec_id") % 2) + 0.5 * (1 - F.abs(F.col("label") - F.col("vec_id") % 10) / 9), 6).alias("credit"))
 
 
-@query("set_component")
+@query("set_component", """WITH RECURSIVE p AS (SELECT p_brand, p_size, min(p_partkey) AS k FROM part GROUP BY ALL), e AS (SELECT a.p_brand, a.p_size AS a, b.p_size AS b FROM p a JOIN p b ON a.p_brand = b.p_brand AND abs(a.p_size - b.p_size) <= 2),
+    r AS (SELECT p_brand, p_size AS a, p_size AS node FROM p UNION SELECT r.p_brand, r.a, e.b FROM r JOIN e ON e.p_brand = r.p_brand AND e.a = r.node),
+    c AS (SELECT p_brand, node AS p_size, min(a) AS root FROM r GROUP BY ALL), n AS (SELECT c.p_brand, root, count(*) AS sectors, min(k) AS first FROM c JOIN p USING (p_brand, p_size) GROUP BY ALL)
+    SELECT p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY root) AS room, sectors, first FROM n""")
 def component(spark, sf):
     """Sectors (parts) that share a passable edge (same brand, neighbouring sizes at most 2 apart), by label rounds in the plan."""
     p = table(spark, sf, "part").groupBy("p_brand", "p_size").agg(F.min("p_partkey").alias("k"))

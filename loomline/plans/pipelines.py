@@ -11,7 +11,7 @@ from loomline.operators import requests as Q
 from loomline.operators import scorer as SC
 from loomline.operators import scoring as S
 from loomline.plans.corpus import D, H, SH, docs, level_sql, m10
-from loomline.plans.facts import predictions
+from loomline.plans.facts import fit_sql, pred_sql, predictions
 from loomline.plans.registry import query, table
 from loomline.sources.shared import written
 
@@ -67,19 +67,25 @@ def pipe_public(spark, sf):
     return u.groupBy("split", "source").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("pipe_distill")
+@query("pipe_distill", f"""WITH {pred_sql('a')}, {pred_sql('b', 20)}, t AS (SELECT a.id, a.grp, CASE WHEN a.grp % 5 = 0 OR a.id % 20 = 7 THEN 'dev' ELSE 'train' END AS split,
+    round(list_max(list_transform(range(1, a.k + 1), lambda i: 0.7 * a.y[i] + 0.3 * b.p[i])), 6) AS top FROM a JOIN b ON a.id = b.id AND a.grp = b.grp AND a.k = b.k)
+    SELECT id, split, top FROM t WHERE split = 'train' OR NOT EXISTS (SELECT 1 FROM t o WHERE o.split = 'train' AND o.grp = t.grp)""")
 def pipe_distill(spark, sf):
     """Teacher blend of one-hot targets, then held-out rows without any group of the training rows."""
     a, b = predictions(spark, sf), predictions(spark, sf, first=20)
     blend = F.zip_with("a.y", "b.p", lambda g, t: 0.7 * g + 0.3 * t)
     both = S.paired(a.select("id", "grp", "k", "y"), b.select("id", "grp", "k", "p"), ["id", "grp"], ["k"]).select("id", "grp", blend.alias("y"))
-    split = F.when(F.col("grp") % 5 == 0, "dev").otherwise("train")
+    split = F.when((F.col("grp") % 5 == 0) | (F.col("id") % 20 == 7), "dev").otherwise("train")
     both = both.withColumn("split", split)
     held = C.drop_exact_leaks(both.where("split = 'dev'"), "grp", both.where("split = 'train'"), "grp")
     return both.where("split = 'train'").unionByName(held).select("id", "split", F.round(F.array_max("y"), 6).alias("top"))
 
 
-@query("pipe_evaluate")
+@query("pipe_evaluate", f"""WITH {pred_sql()}, even AS (SELECT * FROM pred WHERE grp % 2 = 0), {fit_sql('fit', 'even')}, q AS (SELECT id, k, t, y, correct, uniform_nll, list_transform(z, lambda x: exp((x - list_max(z)) / temperature)) AS e FROM pred, fit WHERE grp % 2 = 1),
+    n AS (SELECT *, list_transform(e, lambda x: x / list_sum(e)) AS p FROM q),
+    m AS (SELECT 'calibrated' AS run, correct, uniform_nll, -ln(greatest(p[t + 1], 1e-12)) AS nll, list_sum(list_transform(range(1, k + 1), lambda i: (p[i] - y[i]) ** 2)) AS brier, -p[t + 1] / greatest(sqrt(list_sum(list_transform(p, lambda x: x * x))), 1e-12) AS spherical FROM n
+      UNION ALL SELECT 'raw', correct, uniform_nll, nll, brier, spherical FROM pred WHERE grp % 2 = 1)
+    SELECT run, count(*) AS n, round(avg(correct), 6) AS accuracy, round(avg(nll), 6) AS nll, round(avg(brier), 6) AS brier, round(avg(spherical), 6) AS spherical, round(avg(uniform_nll), 6) AS uniform_nll FROM m GROUP BY run""")
 def pipe_evaluate(spark, sf):
     """Fit a temperature on even groups, apply it to odd groups, report before and after."""
     s = predictions(spark, sf)
@@ -90,7 +96,8 @@ def pipe_evaluate(spark, sf):
     return one(odd, "raw").unionByName(one(after, "calibrated"))
 
 
-@query("scorer_lexical")
+@query("scorer_lexical", """WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents), r AS (SELECT doc_id, list_transform([['the', 'and', 'of'], ['der', 'die', 'das'], ['que', 'los', 'el'], ['les', 'de', 'la']],
+    lambda o: 1 + len(list_filter(o, lambda x: list_contains(w, x)))) AS r FROM w) SELECT doc_id, list_transform(r, lambda x: round(x / list_sum(r), 6)) AS p FROM r""")
 def scorer_lexical(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", F.col("text").alias("state"), F.lit("Which words occur?").alias("instructions"), F.array(*map(F.lit, ("the and of", "der die das", "que los el", "les de la"))).alias("options"))
     return SC.score(d, SC.lexical).select("doc_id", F.transform("probabilities", lambda x: F.round(x, 6)).alias("p"))

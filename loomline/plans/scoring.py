@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loomline.functions import dists as D
 from loomline.operators import scoring as S
 from loomline.operators.ranks import ranked
-from loomline.plans.facts import pred_sql, predictions
+from loomline.plans.facts import fit_sql, pred_sql, predictions
 from loomline.plans.registry import query, table
 
 P = "WITH " + pred_sql()
@@ -294,24 +294,24 @@ def ci_flag(spark, sf):
     return accuracy_bootstrap(spark, sf).select("estimate", "lower", "upper", ((F.col("lower") > 0) | (F.col("upper") < 0)).alias("excludes_zero"))
 
 
-@query("fit_temperature")
+@query("fit_temperature", f"{P}, {fit_sql('fit', 'pred')} SELECT round(temperature, 6) AS temperature, round(nll, 6) AS nll, round(nll_before, 6) AS nll_before FROM fit")
 def fit_temperature(spark, sf):
-    return S.fit_temperature(predictions(spark, sf))
+    return S.fit_temperature(predictions(spark, sf)).select(*(F.round(c, 6).alias(c) for c in ("temperature", "nll", "nll_before")))
 
 
-@query("fit_by_cardinality")
+@query("fit_by_cardinality", f"{P}, {fit_sql('own', 'pred', ('k',))}, {fit_sql('every', 'pred')}, c AS (SELECT k, count(*) AS n FROM pred GROUP BY k) SELECT k, n, round(CASE WHEN n >= 20 THEN own.temperature ELSE every.temperature END, 6) AS temperature FROM c JOIN own USING (k), every")
 def fit_by_cardinality(spark, sf):
     s = predictions(spark, sf)
     own = S.fit_temperature(s, by=["k"]).join(s.groupBy("k").agg(F.count(F.lit(1)).alias("n")), "k")
-    return own.crossJoin(F.broadcast(S.fit_temperature(s).select(F.col("temperature").alias("t")))).select("k", "n", F.when(F.col("n") >= 20, F.col("temperature")).otherwise(F.col("t")).alias("temperature"))
+    return own.crossJoin(F.broadcast(S.fit_temperature(s).select(F.col("temperature").alias("t")))).select("k", "n", F.round(F.when(F.col("n") >= 20, F.col("temperature")).otherwise(F.col("t")), 6).alias("temperature"))
 
 
-@query("fit_by_family")
+@query("fit_by_family", f"{P}, b AS (SELECT *, (2 ** greatest(1, ceil(log2(k))))::INT AS bucket FROM pred), {fit_sql('cell', 'b', ('family', 'bucket'))}, {fit_sql('fam', 'b', ('family',))}, c AS (SELECT family, bucket, count(*) AS n FROM b GROUP BY ALL) SELECT family, bucket, n, round(CASE WHEN n >= 20 THEN cell.temperature ELSE fam.temperature END, 6) AS temperature FROM c JOIN cell USING (family, bucket) JOIN fam USING (family)")
 def fit_by_family(spark, sf):
     s = predictions(spark, sf).withColumn("bucket", D.cardinality_bucket(F.col("k")))
     cells = S.fit_temperature(s, by=["family", "bucket"]).join(s.groupBy("family", "bucket").agg(F.count(F.lit(1)).alias("n")), ["family", "bucket"])
     fam = S.fit_temperature(s, by=["family"]).select("family", F.col("temperature").alias("t"))
-    return cells.join(fam, "family").select("family", "bucket", "n", F.when(F.col("n") >= 20, F.col("temperature")).otherwise(F.col("t")).alias("temperature"))
+    return cells.join(fam, "family").select("family", "bucket", "n", F.round(F.when(F.col("n") >= 20, F.col("temperature")).otherwise(F.col("t")), 6).alias("temperature"))
 
 
 TEMPS = "fam(family, t) AS (VALUES ('f0', 1.5), ('f1', 0.8)), cell(family, bucket, t) AS (VALUES ('f0', 4, 2.0), ('f1', 8, 0.5)), kinds(kind, t) AS (VALUES ('score', 3.0))"

@@ -47,12 +47,20 @@ def st_dedup(spark, sf):
     return e.dropDuplicates(["user_id"]).agg(F.count(F.lit(1)).alias("passes")).crossJoin(e.agg(F.count(F.lit(1)).alias("requests")))
 
 
-@query("st_dedup_stream")
+@query("st_dedup_stream", "SELECT DISTINCT event_id, user_id FROM events")
 def st_dedup_stream(spark, sf):
     return E.run_to_table(E.distinct_events(stream(spark, sf), "event_id", "1 hour").select("event_id", "user_id"), "distinct")
 
 
-@query("st_rate_limit")
+#: A token bucket for each user, one recursion a rank.
+BUCKETS = """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) / 1000000 AS now, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+    b AS (SELECT user_id, k, event_id, now, 2.0::DOUBLE AS tokens, true AS allowed, 0.0::DOUBLE AS wait FROM e WHERE k = 1 UNION ALL
+      SELECT e.user_id, e.k, e.event_id, e.now, CASE WHEN f.had >= 1 THEN f.had - 1 ELSE f.had END, f.had >= 1, CASE WHEN f.had >= 1 THEN 0.0 ELSE (1 - f.had) / 0.001 END
+      FROM b JOIN e ON e.user_id = b.user_id AND e.k = b.k + 1, LATERAL (SELECT least(3.0, b.tokens + (e.now - b.now) * 0.001)::DOUBLE AS had) f)
+    SELECT user_id, event_id, allowed, round(wait, 6) AS wait FROM b"""
+
+
+@query("st_rate_limit", BUCKETS)
 def rate_limit(spark, sf):
     """The batch form of the token bucket: 30 a minute, burst 3, folded over each user's ordered events."""
 
@@ -66,7 +74,7 @@ def rate_limit(spark, sf):
     return fold_by(e, "user_id", ["ts", "event_id"], step, "user_id long, event_id long, allowed boolean, wait double", lambda: (3.0, None))
 
 
-@query("st_rate_limit_stream")
+@query("st_rate_limit_stream", BUCKETS)
 def rate_limit_stream(spark, sf):
     out = E.run_to_table(E.rate_limited(stream(spark, sf), "user_id", 0.001, 3.0), "limited")
     return out.select("user_id", "event_id", "allowed", F.round("wait", 6).alias("wait"))

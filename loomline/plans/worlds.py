@@ -13,7 +13,7 @@ from loomline.functions import text as T
 from loomline.operators import corpus as C
 from loomline.operators import scoring as S
 from loomline.plans.corpus import D, docs, m10
-from loomline.plans.facts import predictions
+from loomline.plans.facts import fit_sql, pred_sql, predictions
 from loomline.plans.pipelines import CLEAN, clean_docs
 from loomline.plans.registry import query, table
 
@@ -145,7 +145,9 @@ def minimal_pair(spark, sf):
     return t.where("changed BETWEEN 1 AND 8 AND gold <> twin_gold")
 
 
-@query("calibrate_remote")
+@query("calibrate_remote", f"""WITH {pred_sql('base')}, s AS (SELECT id, grp, t, p, list_transform(p, lambda x: ln(greatest(x, 1e-12))) AS z FROM base), even AS (SELECT * FROM s WHERE grp % 2 = 0), {fit_sql('fit', 'even')},
+    e AS (SELECT id, p, list_transform(z, lambda x: exp(x / temperature)) AS e FROM s, fit WHERE grp % 2 = 1)
+    SELECT id, list_transform(p, lambda x: round(x, 6)) AS raw, list_transform(e, lambda x: round(x / list_sum(e), 6)) AS calibrated FROM e""")
 def calibrate_remote(spark, sf):
     """Raw probabilities stay; a temperature of ln max(p, 1e-12) is fitted on even groups, never on the panel (odd ones)."""
     s = predictions(spark, sf).withColumn("z", F.transform("p", lambda x: F.ln(F.greatest(x, F.lit(1e-12)))))
