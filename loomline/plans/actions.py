@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from loomline.functions import dates as DT
 from loomline.functions import geometry as G
 from loomline.functions import text as T
+from loomline.operators import decisions as DE
 from loomline.operators import episodes as E
+from loomline.plans.facts import pred_sql, predictions
 from loomline.plans.registry import query, table
 
 
@@ -232,3 +234,42 @@ def perturb_format(spark, sf):
     """Whole texts with units spelt otherwise and one of four ways of punctuation."""
     mode = F.get(F.array(*map(F.lit, T.PUNCTUATION)), (F.col("doc_id") % 4).cast("int"))
     return table(spark, sf, "documents").select("doc_id", F.sha2(T.other_punctuation(T.other_units(F.col("text")), mode), 256).alias("h"))
+
+
+@query("gen_tradeoff", """WITH c AS (SELECT l_orderkey AS o, CASE l_linenumber % 3 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' ELSE 'high' END AS risk, l_quantity::DOUBLE AS cost, l_discount::DOUBLE AS impact, l_tax::DOUBLE AS duration, l_linenumber AS key FROM lineitem),
+    f AS (SELECT * FROM c WHERE cost <= 30 AND (risk = 'low' OR (risk = 'medium' AND o % 2 = 0))),
+    r AS (SELECT o, key, rank() OVER (PARTITION BY o ORDER BY impact, duration) AS k FROM f), g AS (SELECT o, min(key) AS gold FROM r WHERE k = 1 GROUP BY o HAVING count(*) = 1)
+    SELECT t.o AS l_orderkey, gold::BIGINT AS gold FROM (SELECT DISTINCT o FROM c) t LEFT JOIN g USING (o)""")
+def gen_tradeoff(spark, sf):
+    """An order's line of least discount, then tax, within limits of risk and quantity."""
+    risk = F.get(F.array(*map(F.lit, DE.RISKS)), (F.col("l_linenumber") % 3).cast("int"))
+    item = F.struct(F.col("l_linenumber").cast("long").alias("key"), risk.alias("risk"), F.col("l_quantity").cast("double").alias("cost"), F.col("l_discount").cast("double").alias("impact"), F.col("l_tax").cast("double").alias("duration"))
+    o = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_list(item).alias("c"))
+    limit = F.when(F.col("l_orderkey") % 2 == 0, "medium").otherwise("low")
+    return o.select("l_orderkey", DE.best_within(F.col("c"), limit, F.lit(30.0), ["impact", "duration"]).alias("gold"))
+
+
+@query("gen_record_match", "SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 3 THEN 0 ELSE 2 END AS gold FROM customer")
+def gen_record_match(spark, sf):
+    """Probes with three candidates each: other spellings, missing fields, one field that disagrees, nothing in common."""
+    n = F.lpad(F.col("c_custkey").cast("string"), 7, "0")
+    text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    record = lambda dob, phone, mail: F.struct(*((F.lit(v) if isinstance(v, str) else F.lit(None).cast("string") if v is None else v).alias(k) for k, v in (("dob", dob), ("phone", phone), ("mail", mail))))
+    probe = record("1980-02-03", text("555-", n), text("p", n, "@mail.org"))
+    spelt, fewer = record("1980 02 03", text("(555) ", n), None), record(None, text("555", n), None)
+    other, apart = record("1980-02-03", text("556-", n), text("P", n, "@MAIL.org")), record(None, None, None)
+    menus = ((spelt, other, apart), (other, fewer, apart), (apart, other, spelt), (apart, other, other), (other, spelt, fewer))
+    which = F.get(F.array(*(F.array(*m) for m in menus)), (F.col("c_custkey") % 5).cast("int"))
+    return table(spark, sf, "customer").select("c_custkey", DE.matching_candidate(probe, which, ["dob", "phone", "mail"]).alias("gold"))
+
+
+@query("probe_interior", f"""WITH {pred_sql('a')}, {pred_sql('b', 20)}, j AS (SELECT a.family, a.p AS p, b.p AS q, a.k AS k, list_filter(range(1, a.k + 1), lambda i: a.p[i] >= 0.02 AND b.p[i] >= 0.02) AS keep FROM a JOIN b USING (id)),
+    l AS (SELECT *, list_transform(keep, lambda i: ln(p[i])) AS lp, list_transform(keep, lambda i: ln(q[i])) AS lq FROM j), c AS (SELECT *, list_transform(lp, lambda x: x - list_avg(lp)) AS x, list_transform(lq, lambda x: x - list_avg(lq)) AS y FROM l),
+    s AS (SELECT *, list_dot_product(x::DOUBLE[], y::DOUBLE[]) / list_dot_product(x::DOUBLE[], x::DOUBLE[]) AS scale FROM c), r AS (SELECT *, CASE WHEN len(keep) >= 3 THEN sqrt(list_avg(list_transform(range(1, len(x) + 1), lambda i: (y[i] - scale * x[i]) ** 2))) END AS rms,
+      len(keep) >= 3 AND list_grade_up(list_transform(x, lambda v: -v)) <> list_grade_up(list_transform(y, lambda v: -v)) AS reversed FROM s)
+    SELECT family, count(*) AS n, count(rms) AS defined, round(avg(rms), 6) AS residual_rms, count(*) FILTER (WHERE reversed) AS reversals, round(avg(list_sum(list_transform(range(1, k + 1), lambda i: abs(p[i] - q[i]))) / 2), 6) AS tv,
+      count(*) FILTER (WHERE list_position(p, list_max(p)) <> list_position(q, list_max(q))) AS flips FROM r GROUP BY family""")
+def probe_interior(spark, sf):
+    """What editing a menu does, by family: residuals beyond a change of scale, reversals, total variation, flips."""
+    a, b = predictions(spark, sf).select("id", "family", F.col("p").alias("base")), predictions(spark, sf, first=20).select("id", F.col("p").alias("variant"))
+    return DE.menu_edits(a.join(b, "id"), "family")

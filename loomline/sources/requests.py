@@ -24,9 +24,12 @@ def read_requests(spark: SparkSession, path, strict: bool = True) -> DataFrame:
     """Typed requests from JSON lines; a missing group_id becomes the state's hash. Fields outside the model are ignored.
 
     ``strict``: a broken line raises, naming its file; else broken lines come back with null columns and ``corrupt``.
-    An empty input gives no rows.
+    An input without any line is an error when ``strict``, else it gives no rows.
     """
-    parsed = _lines(spark, path).withColumn("r", F.from_json("value", REQUEST))
+    lines = _lines(spark, path)
+    if strict and lines.isEmpty():
+        raise ValueError(f"no request in {path}")
+    parsed = lines.withColumn("r", F.from_json("value", REQUEST))
     broken = F.col("r").isNull() | F.col("r.state").isNull()
     if strict:
         parsed = parsed.where(F.when(broken, F.raise_error(F.concat(F.lit("not a request in "), "file", F.lit(": "), F.substring("value", 1, 80))).cast("boolean")).otherwise(True))
