@@ -26,6 +26,43 @@ def nearest(df: DataFrame, by: str, value: str, key: str, reference: DataFrame,
     return best.select(by, F.when(F.col("b.n") == 1, F.col("b.first")).alias(key))
 
 
+def closest(left: DataFrame, right: DataFrame, by: str, value: str, key: str) -> DataFrame:
+    """``left``'s rows, each with ``closest``, its group's row of ``right`` with the smallest squared difference of ``value``.
+
+    ``closest`` is (no, d, k): no difference, the difference, ``key``, and orders so. Differences are those of doubles;
+    ties go to the smaller key, a NaN difference stands behind all others, a null one last.
+    Only distinct values meet: on one line of a group's values each looks at the nearest of ``right`` below and above, as
+    differences grow with distance. A group's line is sorted and read as a stream by one task. Where the next value
+    beyond a neighbour gives the very same double, and for null, NaN and infinite values, all of the group's are tried.
+    """
+    kind = right.schema[key].dataType
+    rows = left.select(by, F.col(value).cast("double").alias("__v"), F.lit(True).alias("__asked"), F.lit(None).cast(kind).alias("__k"))
+    rows = rows.unionByName(right.select(by, F.col(value).cast("double").alias("__v"), F.lit(False).alias("__asked"), F.col(key).alias("__k")))
+    line = rows.where(F.col(by).isNotNull()).groupBy(by, "__v").agg(F.max("__asked").alias("__asked"), F.min("__k").alias("__k"))
+    line = line.withColumn("__plain", F.coalesce(F.abs("__v") < float("inf"), F.lit(False)))
+    mark = F.col("__plain") & F.col("__k").isNotNull()
+    for side, order in (("__below", F.col("__v").asc()), ("__above", F.col("__v").desc())):
+        w = Window.partitionBy(by).orderBy(order)
+        line = line.withColumn("__next", F.last(F.when(mark, F.col("__v")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+        point = F.when(mark, F.struct("__v", "__k", "__next"))
+        line = line.withColumn(side, F.last(point, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    line = written(line.drop("__next"), "line")
+
+    off = lambda other: (F.col("__v") - other) * (F.col("__v") - other)
+    rank = lambda other, k: F.struct(off(other).isNull().alias("no"), off(other).alias("d"), k.alias("k"))
+    tied = F.lit(False)
+    for side in ("__below", "__above"):
+        tied = tied | F.coalesce(off(F.col(f"{side}.__next")) == off(F.col(f"{side}.__v")), F.lit(False))
+    asked = line.where("__asked").withColumn("__all", tied | ~F.col("__plain"))
+    near = asked.select(by, "__v", F.explode(F.array("__below", "__above")).alias("s")).where("s IS NOT NULL").select(by, "__v", rank(F.col("s.__v"), F.col("s.__k")).alias("__best"))
+    told = line.where(F.col("__k").isNotNull()).select(F.col(by).alias("__g"), F.col("__v").alias("__o"), "__k", "__plain")
+    pairs = lambda a, b: a.select(by, "__v").join(b, F.col(by) == F.col("__g")).select(by, "__v", rank(F.col("__o"), F.col("__k")).alias("__best"))
+    every = near.unionByName(pairs(asked.where("__all"), told)).unionByName(pairs(asked.where("NOT __all"), told.where("NOT __plain")))
+    best = every.groupBy(F.col(by).alias("__g"), "__v").agg(F.min("__best").alias("closest"))
+    best = broadcast_if_small(written(best, "closest"), 48)
+    return left.join(best, (F.col(by) == F.col("__g")) & F.col(value).cast("double").eqNullSafe(F.col("__v"))).select(*left.columns, "closest")
+
+
 def lexicographic(df: DataFrame, by: str, constraint: Column, order: list[Column], key: str) -> DataFrame:
     """(by, key) of the best row that meets the constraint, by ordered priorities; a full tie gives a null key."""
     rank = F.struct(*(c.alias(f"o{i}") for i, c in enumerate(order)))

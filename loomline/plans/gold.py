@@ -37,10 +37,9 @@ def nearest(spark, sf):
 
 @query("join_best_match", "WITH s AS (SELECT s_suppkey, s_acctbal::DOUBLE AS b, s_nationkey FROM supplier), c AS (SELECT c_custkey, c_acctbal::DOUBLE AS b, c_nationkey FROM customer), r AS (SELECT c_custkey, s_suppkey, row_number() OVER (PARTITION BY c_custkey ORDER BY (c.b - s.b) ** 2, s_suppkey) AS k FROM c JOIN s ON c_nationkey = s_nationkey) SELECT c_custkey, s_suppkey FROM r WHERE k = 1")
 def best_match(spark, sf):
-    s = table(spark, sf, "supplier").select("s_suppkey", F.col("s_acctbal").cast("double").alias("sb"), "s_nationkey")
-    c = table(spark, sf, "customer").select("c_custkey", F.col("c_acctbal").cast("double").alias("cb"), "c_nationkey")
-    d = F.struct(((F.col("cb") - F.col("sb")) * (F.col("cb") - F.col("sb"))).alias("d"), "s_suppkey")
-    return c.join(s, F.col("c_nationkey") == F.col("s_nationkey")).groupBy("c_custkey").agg(F.min(d)["s_suppkey"].alias("s_suppkey"))
+    s = table(spark, sf, "supplier").select("s_suppkey", F.col("s_acctbal").alias("b"), F.col("s_nationkey").alias("n"))
+    c = table(spark, sf, "customer").select("c_custkey", F.col("c_acctbal").alias("b"), F.col("c_nationkey").alias("n"))
+    return R.closest(c, s, "n", "b", "s_suppkey").groupBy("c_custkey").agg(F.min("closest")["k"].alias("s_suppkey"))
 
 
 @query("win_filtered_min", "WITH ref AS (SELECT p_brand, avg(p_size) AS a FROM part GROUP BY p_brand), r AS (SELECT part.p_brand, p_partkey, row_number() OVER (PARTITION BY part.p_brand ORDER BY p_retailprice, p_partkey) AS k FROM part JOIN ref ON part.p_brand = ref.p_brand AND p_size > a) SELECT p_brand, p_partkey FROM r WHERE k = 1")
