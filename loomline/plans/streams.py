@@ -10,9 +10,9 @@ from loomline.plans.registry import query, table
 from loomline.streaming import events as E
 
 
-def stream(spark, sf):
+def stream(spark, sf, **options):
     schema = table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value")
-    raw = E.read_stream(spark, f"{sf}/events.parque[t]", table(spark, sf, "events").schema)
+    raw = E.read_stream(spark, f"{sf}/events.parque[t]", table(spark, sf, "events").schema, **options)
     return raw.select(*(F.col(c).cast("timestamp").alias(c) if c == "ts" else F.col(c) for c in schema.columns))
 
 
@@ -76,7 +76,8 @@ def rate_limit(spark, sf):
 
 @query("st_rate_limit_stream", BUCKETS)
 def rate_limit_stream(spark, sf):
-    out = E.run_to_table(E.rate_limited(stream(spark, sf), "user_id", 0.001, 3.0), "limited")
+    """What is there is one micro-batch: files overlap in time, and what a later batch brings is decided, or late, after the first."""
+    out = E.run_to_table(E.rate_limited(stream(spark, sf, files_per_trigger=None), "user_id", 0.001, 3.0), "limited")
     return out.select("user_id", "event_id", "allowed", F.round("wait", 6).alias("wait"))
 
 

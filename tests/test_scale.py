@@ -4,9 +4,12 @@ import math
 import random
 
 import duckdb
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from loomline.plans import ORACLES, QUERIES, load
+from loomline.streaming import events as E
 
 load()
 
@@ -55,3 +58,35 @@ def test_best_match_makes_no_pairs(spark, tmp_path):
     df = QUERIES["join_best_match"](spark, str(tmp_path))
     assert sorted(map(tuple, df.collect()), key=repr) == sql_rows(tmp_path, "join_best_match", ["customer", "supplier"])
     assert most_rows(df) <= 3 * 4000  # all pairs: 2,000,000
+
+
+@pytest.fixture
+def small_frames(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "50")
+    yield
+    spark.conf.set(name, before)
+
+
+@pytest.mark.parametrize("files", [1000, 1])
+def test_rate_limit_of_keys_in_many_frames(spark, tmp_path, monkeypatch, small_frames, files):
+    # three files that overlap in time, newest event first, with equal times; three users in frames of 50 rows
+    ts = F.timestamp_micros(F.lit(1_700_000_000_000_000) + F.floor((2000 - F.col("id")) / 3) * 217_000_123)
+    e = spark.range(2000).select((F.col("id") * 7 % 2000).alias("event_id"), ts.alias("ts"), (F.col("id") % 7 % 3).alias("user_id"), F.lit("view").alias("event_type"), F.lit(1.0).alias("value"))
+    e.repartition(3, "event_id").sortWithinPartitions("ts", ascending=False).write.parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(E.read_stream, "__defaults__", (files,))
+    got = QUERIES["st_rate_limit_stream"](spark, str(tmp_path)).select("user_id", "event_id", "allowed", "wait").collect()
+    want = sql_rows(tmp_path, "st_rate_limit_stream", ["events"])
+    assert len(got) == 2000 and {r["allowed"] for r in got} == {True, False}
+    assert sorted((*r[:3], round(r[3], 6)) for r in got) == sorted((*r[:3], round(r[3], 6)) for r in want)
+
+
+def test_rate_limit_merges_runs():
+    r = random.Random(5)
+    rows = [[r.randrange(300), i] for i in range(9001)]
+    r.shuffle(rows)
+    frames = [pd.DataFrame(rows[i : i + 97], columns=["us", "event_id"]) for i in range(0, 9001, 97)]
+    for held in (1, 1000, 9001, 1 << 20):
+        assert list(E.in_time_order(iter(frames), held)) == sorted(rows)
+    assert list(E.in_time_order(iter([]), 10)) == []
