@@ -63,6 +63,21 @@ def closest(left: DataFrame, right: DataFrame, by: str, value: str, key: str) ->
     return left.join(best, (F.col(by) == F.col("__g")) & F.col(value).cast("double").eqNullSafe(F.col("__v"))).select(*left.columns, "closest")
 
 
+def shown_matches(left: DataFrame, right: DataFrame, on: list[str], value: str, key: str) -> DataFrame:
+    """``left``'s rows with ``first`` and ``matches``, the smallest ``key`` and the number of ``right``'s rows that match.
+
+    Rows match if they are equal in all of ``on`` and, where both show a ``value`` (not null), in that too. Rows without a
+    match are left out. Only counts of ``right`` by (on, value) meet the rows of ``left``.
+    """
+    per = written(right.groupBy(*on, value).agg(F.min(key).alias("__first"), F.count(F.lit(1)).alias("__n")), "shown")
+    hides = F.col(value).isNull()
+    groups = per.groupBy(*on).agg(F.min("__first").alias("__all_first"), F.sum("__n").alias("__all"), F.min(F.when(hides, F.col("__first"))).alias("__hidden_first"), F.coalesce(F.sum(F.when(hides, F.col("__n"))), F.lit(0)).alias("__hidden"))
+    told = left.join(broadcast_if_small(groups, 128), on).join(broadcast_if_small(per.where(~hides), 128), [*on, value], "left")
+    first = F.when(hides, F.col("__all_first")).otherwise(F.least("__first", "__hidden_first"))
+    n = F.when(hides, F.col("__all")).otherwise(F.coalesce("__n", F.lit(0)) + F.col("__hidden"))
+    return told.select(*(F.col(c) for c in left.columns), first.alias("first"), n.alias("matches")).where("matches > 0")
+
+
 def lexicographic(df: DataFrame, by: str, constraint: Column, order: list[Column], key: str) -> DataFrame:
     """(by, key) of the best row that meets the constraint, by ordered priorities; a full tie gives a null key."""
     rank = F.struct(*(c.alias(f"o{i}") for i, c in enumerate(order)))

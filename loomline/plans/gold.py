@@ -180,11 +180,10 @@ def theta_claims(spark, sf):
 @query("join_identity_match", "WITH a AS (SELECT c_custkey AS k, c_nationkey AS n, c_mktsegment AS m, CASE WHEN c_custkey % 3 <> 0 THEN floor(c_acctbal)::BIGINT % 50 END AS b FROM customer WHERE c_custkey % 2 = 0), c AS (SELECT c_custkey AS k, c_nationkey AS n, c_mktsegment AS m, CASE WHEN c_custkey % 5 <> 0 THEN floor(c_acctbal)::BIGINT % 50 END AS b FROM customer WHERE c_custkey % 2 = 1) SELECT a.k AS a, min(c.k) AS b, count(*) AS matches FROM a JOIN c ON a.n = c.n AND a.m = c.m WHERE a.b IS NULL OR c.b IS NULL OR a.b = c.b GROUP BY a.k")
 def identity_match(spark, sf):
     c = table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("n"), F.col("c_mktsegment").alias("m"), (F.floor("c_acctbal").cast("long") % 50).alias("b"))
-    a = c.where("k % 2 = 0").select(F.col("k").alias("a"), "n", "m", F.when(F.col("k") % 3 != 0, F.col("b")).alias("ab"))
-    b = c.where("k % 2 = 1").select(F.col("k").alias("b"), "n", "m", F.when(F.col("k") % 5 != 0, F.col("b")).alias("bb"))
-    agree = F.col("ab").isNull() | F.col("bb").isNull() | (F.col("ab") == F.col("bb"))
+    a = c.where("k % 2 = 0").select(F.col("k").alias("a"), "n", "m", F.when(F.col("k") % 3 != 0, F.col("b")).alias("b"))
+    b = c.where("k % 2 = 1").select("k", "n", "m", F.when(F.col("k") % 5 != 0, F.col("b")).alias("b"))
     # two fields always visible and equal: the rule's "at least two"; the third must agree where both show it
-    return a.join(b, ["n", "m"]).where(agree).groupBy("a").agg(F.min("b").alias("b"), F.count(F.lit(1)).alias("matches"))
+    return R.shown_matches(a, b, ["n", "m"], "b", "k").groupBy("a").agg(F.min("first").alias("b"), F.sum("matches").alias("matches"))
 
 
 @query("level_of_value", "SELECT o_orderkey, ((o_totalprice > 50000)::INT + (CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice >= 150000 ELSE o_totalprice > 150000 END)::INT + (o_totalprice > 300000)::INT)::INT AS level FROM orders")

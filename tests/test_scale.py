@@ -90,3 +90,25 @@ def test_rate_limit_merges_runs():
     for held in (1, 1000, 9001, 1 << 20):
         assert list(E.in_time_order(iter(frames), held)) == sorted(rows)
     assert list(E.in_time_order(iter([]), 10)) == []
+
+
+def customers(spark, folder, n, nations):
+    r = random.Random(n)
+    rows = [(k, r.choice(nations), r.choice(["A", "B", None]), None if k % 17 == 0 else round(r.uniform(-60, 60), 2)) for k in range(n)]
+    rows += [(4, 1, "A", 3.5), (6, 1, "B", 3.5)]  # a key twice counts all its matches
+    spark.createDataFrame(rows, "c_custkey long, c_nationkey int, c_mktsegment string, c_acctbal double").write.parquet(f"{folder}/customer.parquet")
+
+
+@pytest.mark.parametrize(("n", "nations"), [(1500, [1, 2, None, *range(10, 60)]), (0, [1])])
+def test_identity_match(spark, tmp_path, n, nations):
+    customers(spark, tmp_path, n, nations)
+    got = QUERIES["join_identity_match"](spark, str(tmp_path))
+    assert got.columns == ["a", "b", "matches"] and dict(got.dtypes)["matches"] == "bigint"
+    assert sorted(map(tuple, got.collect()), key=repr) == sql_rows(tmp_path, "join_identity_match", ["customer"])
+
+
+def test_identity_match_makes_no_pairs(spark, tmp_path):
+    customers(spark, tmp_path, 4000, [1])
+    df = QUERIES["join_identity_match"](spark, str(tmp_path))
+    assert sorted(map(tuple, df.collect()), key=repr) == sql_rows(tmp_path, "join_identity_match", ["customer"])
+    assert most_rows(df) <= 3 * 4000  # pairs that match: more than 400,000
